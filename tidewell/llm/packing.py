@@ -10,6 +10,7 @@ Null text counts as empty: such a document is its end mark alone. Rows repeat as
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +19,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidewell.llm.common import Memo
+
 MAX_TOKENS = 2048
 OPEN_BINS = 1024
 END_ID = 0
 #: Bytes of cached chunks are bounded by entries and by the length of each.
-CACHED, CACHED_CHARS = 250_000, 48
+CACHED, CACHED_CHARS = 800_000, 48
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
+#: Marks that a letter never shares a word with: what follows the letters of a chunk encodes by itself.
+_TAIL = ".,;:!?%&*$#"
 
 
 class Bins:
@@ -68,46 +74,81 @@ class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokeniser's rule splits words so that a single space between two other characters always starts a new word. A text
-    therefore encodes as its chunks between such spaces, and chunks are cached; new ones go to the tokeniser in one batch.
+    therefore encodes as its chunks between such spaces. Chunks are cached; new ones are strung together, encoded in one call
+    and told apart by the bytes that each token stands for.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: its alphabet has a character for each byte
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.known: dict[str, bytes] = {}  # by the chunk without its leading space
+        self.tails = Memo(lambda t: self._encode([t])[0].tobytes(), 20_000)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
+        """A text in pieces that encode independently: all but the first begin with a single space that goes unsaid."""
         parts = text.split(" ")
-        if len(parts) == 1:
+        if len(parts) == 1 or "" not in parts and not any(w in text and (f" {w}" in text or f"{w} " in text or text[-1] == w) for w in _OTHER_SPACE):
             return parts
         out = [parts[0]]
         for before, part in zip(parts, parts[1:], strict=False):
             # next to other white space, a space belongs to a run that is split as a whole
             if before and part and not before[-1].isspace() and not part[0].isspace():
-                out.append(" " + part)
+                out.append(part)
             else:
                 out[-1] += " " + part
         return out
 
-    def _encode(self, new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that end in no white space, each after a space."""
+        out = {}
+        for a, b in slices(new, 100_000):
+            part = new[a:b]
+            ids = self._encode([" " + " ".join(part)])[0]
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in part])
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            raw, at = ids.tobytes(), 0
+            for c, cut in zip(part, (4 * cuts).tolist(), strict=True):
+                out[c] = raw[at:cut]
+                at = cut
+        return out
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
-            self.known.clear()
+            self.known = {}
         split = [self.chunks(t) for t in texts]
-        new = list({c for cs in split for c in cs if c not in self.known})
-        long = {}
-        for i in range(0, len(new), 4096):
-            for c, b in zip(part := new[i : i + 4096], self._encode(part), strict=True):
-                (self.known if len(c) <= CACHED_CHARS else long)[c] = b
-        if long:
-            return [b"".join([self.known[c] if c in self.known else long[c] for c in cs]) for cs in split]
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) for cs in split]
+        known = self.known
+        new = {c for cs in split for c in cs[1:] if c not in known}
+        parted, plain = [], set()
+        for c in new:
+            if len(c) <= CACHED_CHARS and not c[-1].isspace():
+                core = c.rstrip(_TAIL)
+                if core != c and core.isalpha():
+                    parted.append((c, core, c[len(core) :]))
+                    if core not in known:
+                        plain.add(core)
+                else:
+                    plain.add(c)
+        known.update(self._learn(list(plain)))
+        for c, core, tail in parted:
+            known[c] = known[core] + self.tails[tail]
+        odd = [c for c in new if c not in known]
+        own = dict(zip(odd, (x.tobytes() for x in self._encode([" " + c for c in odd])), strict=True))
+        first = self._encode([cs[0] for cs in split])
+        if own:
+            return [x.tobytes() + b"".join([known[c] if c in known else own[c] for c in cs[1:]]) for x, cs in zip(first, split, strict=True)]
+        get = known.__getitem__
+        return [x.tobytes() + b"".join(map(get, cs[1:])) for x, cs in zip(first, split, strict=True)]
 
 
 def slices(values: list, most_chars: int = 400_000):
