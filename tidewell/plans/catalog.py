@@ -1,4 +1,6 @@
-"""Named queries over the standard tables, each with the SQL that says the same."""
+"""All named queries over the standard tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewell.plans import metric_queries, rate_queries, score_queries, set_queries, source_queries, text_queries, topic_queries  # noqa: F401
+from tidewell.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
