@@ -5,9 +5,9 @@ documents, and around each hit the overlap is verified token by token along its
 tolerated. The benchmark is the stated query set: its seed index goes to the tasks in blocks of at most BLOCK_TOKENS tokens
 (checked), one pass over the documents for each block, so that a benchmark of any size is covered whole.
 
-Tokens are white-space separated, case-folded and stripped to letters and digits. An overlap counts if its best segment
-(one point for an equal token, four off for another, hence a similarity of 0.8 or more) has at least 13 equal tokens or 0.8
-of the item's. Items of five to eleven tokens are matched whole; shorter ones match nothing. Null or empty texts match
+Tokens are white-space separated, case-folded and stripped to letters and digits. An overlap counts if 0.8 of the item's tokens
+are equal, or if its best segment (one point for an equal token, four off for another, hence a similarity of 0.8 or more) has
+at least 13 equal tokens. Items of five to seven tokens are matched whole; shorter ones match nothing. Null or empty texts match
 nothing; repeated rows give the same result once for each id; an empty benchmark gives no rows.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewell.llm.common import Memo
 
 #: 1 keeps a token, 0 ignores it.
-MASKS = ("110110111101", "111011010111", "101111100111")
+MASKS = ("11110001", "11001011", "10111001")
 SPAN = len(MASKS[0])
 SHORTEST = 5
 MIN_MATCHED, MIN_SHARE, MISMATCH = 13, 0.8, -4
@@ -106,15 +106,26 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def segment(equal: np.ndarray, n: int) -> tuple[int, int, int] | None:
+    """(start, end, equal tokens) of what counts as an overlap with an item of n tokens along a diagonal, or None."""
+    if (same := int(equal.sum())) >= math.ceil((MIN_SHARE if n >= SPAN else 1) * n):
+        at = np.flatnonzero(equal)
+        return int(at[0]), int(at[-1]) + 1, same
+    found = best_segment(equal)
+    return found if found[2] >= MIN_MATCHED else None
+
+
 def overlaps(toks: np.ndarray, index: Index) -> list[tuple]:
     """(item id, equal tokens, item tokens, start in the document's tokens, length), the best for each item."""
     best: dict[int, tuple] = {}
     for k, d in index.diagonals(toks).tolist():
         item = index.toks[k]
         a, b = max(0, -d), min(len(item), len(toks) - d)
-        start, end, same = best_segment(item[a:b] == toks[a + d : b + d])
-        need = min(MIN_MATCHED, math.ceil(MIN_SHARE * len(item)))
-        if same >= need and (k not in best or (same, -start) > (best[k][1], -best[k][3])):
+        found = segment(item[a:b] == toks[a + d : b + d], len(item))
+        if found is None:
+            continue
+        start, end, same = found
+        if k not in best or (same, -start) > (best[k][1], -best[k][3]):
             best[k] = (index.ids[k], same, len(item), a + d + start, end - start)
     return [best[k] for k in sorted(best)]
 
