@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.functions.stats import ratio
 from tidewell.functions.text import let
@@ -89,7 +90,8 @@ def flags_and_top(long: DataFrame, key: str, thresholds: DataFrame) -> DataFrame
 def keyword_hits(df: DataFrame, key: str, windows: Column, patterns: dict[str, str]) -> DataFrame:
     """Windows of each text that match a category's pattern."""
     w = df.select(key, windows.alias("w"))
-    return w.select(key, *(F.size(F.filter("w", lambda x, p=p: x.rlike(p))).alias(c) for c, p in patterns.items()))
+    matching = lambda p: F.size(F.filter("w", lambda x: x.rlike(p)))
+    return w.select(key, *(matching(p).alias(c) for c, p in patterns.items()))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
@@ -115,9 +117,7 @@ class Scorer:
 
 def run_scorer(df: DataFrame, text: str, scorer: Scorer, prefix: str) -> DataFrame:
     """df with a column for each score; null where the text is null. Texts go to the model in order of length, so that batches are even."""
-    schema = df.schema
-    for n in scorer.names:
-        schema = schema.add(prefix + n, "double")
+    schema = StructType([*df.schema.fields, *(StructField(prefix + n, DoubleType()) for n in scorer.names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer.load()
@@ -127,7 +127,7 @@ def run_scorer(df: DataFrame, text: str, scorer: Scorer, prefix: str) -> DataFra
             got = pd.DataFrame(scorer.score(b.loc[order, text].tolist()), index=order, columns=[prefix + n for n in scorer.names]) if len(order) else pd.DataFrame(columns=[prefix + n for n in scorer.names])
             yield b.join(got.reindex(b.index).astype(float))
 
-    return df.mapInPandas(run, type(schema)(schema.fields))
+    return df.mapInPandas(run, schema)
 
 
 def two_stage_score(df: DataFrame, key: str, text: str, first: Scorer, second: Scorer, flag: Callable[[DataFrame], Column], rate: float, seed: int = 42) -> DataFrame:
