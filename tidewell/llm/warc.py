@@ -27,7 +27,7 @@ from tidewell.llm.common import cut, fresh_path
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 4 << 20
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {}\r\n\r\n"
 _ID = re.compile(r"<urn:page:(-?\d+|null)>")
 
@@ -67,28 +67,29 @@ def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """Unpacked records whose gzip member starts in [start, end) of a seekable file of that size."""
     file.seek(start)
     buf, at = file.read(min(size, end + len(MAGIC) - 1) - start), 0
-    done = start + len(buf)
     while (at := buf.find(MAGIC, at)) >= 0 and start + at < end:
-        unpack = zlib.decompressobj(31)
+        unpack, ahead, out, head = zlib.decompressobj(31), at, [], b""
         try:
-            out = [unpack.decompress(buf[at : at + 512])]
-            ahead = at + 512
-            valid = out[0][:7] == b"WARC/1." or len(out[0]) < 7 and b"WARC/1.".startswith(out[0])
-            while valid and not unpack.eof:
+            while not unpack.eof:
                 if ahead >= len(buf):
                     more = file.read(1 << 20)
-                    if not more:
+                    if not more and head == VERSION:
                         raise EOFError(f"an archive ends inside the record at {start + at}")
-                    buf, done = buf + more, done + len(more)
-                out.append(unpack.decompress(buf[ahead : ahead + 65536]))
-                ahead = min(ahead + 65536, len(buf))
+                    if not more:
+                        break
+                    buf += more
+                out.append(unpack.decompress(buf[ahead : ahead + (65536 if head else 512)]))
+                ahead = min(ahead + (65536 if head else 512), len(buf))
+                head = head if len(head) == len(VERSION) else (head + out[-1])[: len(VERSION)]
+                if not VERSION.startswith(head):
+                    break
         except zlib.error:
-            valid = False
-        if not valid or (whole := b"".join(out))[:7] != b"WARC/1.":
+            head = b""
+        if head != VERSION:  # not a record: the magic came up by chance
             at += 1
             continue
-        yield whole
-        at = min(ahead, len(buf)) - len(unpack.unused_data)
+        yield b"".join(out)
+        at = ahead - len(unpack.unused_data)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
