@@ -5,30 +5,31 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import langid, toxicity
 
-HELD = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+def held():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = langid.identify(docs, HELD).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    held = [r for r in rows if r.held_out]
-    assert len(rows) == 1000 and 200 < len(held) < 500
-    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.98
+    rows = langid.identify(docs, held()).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    kept_back = [r for r in rows if r.held_out]
+    assert len(rows) == 1000 and 200 < len(kept_back) < 500
+    assert np.mean([r.lang_pred == r.lang for r in kept_back]) > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
     # calibrated: the mean score is near the share of right ones
-    assert abs(np.mean([r.score for r in held]) - np.mean([r.lang_pred == r.lang for r in held])) < 0.05
+    assert abs(np.mean([r.score for r in kept_back]) - np.mean([r.lang_pred == r.lang for r in kept_back])) < 0.05
 
 
 def test_language_edges(spark, make_docs):
     texts = [(i, t * 3, lang) for i, (t, lang) in enumerate([("the cat and the dog ", "en"), ("der hund und die katze ", "de")] * 30)]
     rows = [*texts, (900, None, "en"), (901, "", "en"), (902, "123 !? ٣", "en"), (903, "der hund", None), (None, "the cat", "en"), (904, "the cat " * 50_000, None), (0, "the cat", "en")]
-    got = langid.identify(make_docs(rows), HELD).collect()
+    got = langid.identify(make_docs(rows), held()).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902))
     assert by[903].lang_pred == "de" and by[904].lang_pred == "en" and by[None].lang_pred == "en" and by[None].held_out is False
-    assert langid.identify(make_docs([]), HELD).count() == 0
-    assert {r.lang_pred for r in langid.identify(make_docs([(1, "abc", None)]), HELD).collect()} == {"und"}
+    assert langid.identify(make_docs([]), held()).count() == 0
+    assert {r.lang_pred for r in langid.identify(make_docs([(1, "abc", None)]), held()).collect()} == {"und"}
 
 
 def test_temperature_mends_confidence():

@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
 The chain predicts categories one after another: insult, contempt, dehumanising, and toxic as a whole. Each link is a linear
-(logistic) model on the presence of words and word beginnings, and on the probabilities of the categories before it. In
+(logistic) model on the presence of words and word beginnings, on beginnings that two or four different words share, and on
+the probabilities of the categories before it. In
 training those are out-of-fold predictions, so that a later link sees earlier ones as good as they will be on new texts.
 
 `toxic` comes from the table of labels. That table has no finer categories; their training labels are the toxic rows that hold a
@@ -26,6 +27,7 @@ from tidewell.llm.common import Memo
 
 PER_CLASS, FOLDS, MOST_FEATURES, L1, STEPS = 1500, 5, 2048, 2e-4, 150
 PREFIXES = (3, 4, 6)
+LEVELS = (1, 2, 4)
 
 #: Words that mark a toxic document as of a category, for training labels only.
 CATEGORIES = {
@@ -47,12 +49,18 @@ def word_features(raw: str) -> tuple[int, ...]:
 MARKS = {c: frozenset(word_features(w)[0] for w in words) for c, words in CATEGORIES.items()}
 
 
+def at_least(h: int, n: int) -> int:
+    """The feature of n or more different words that share a feature."""
+    return h if n == 1 else (h * 2654435761 + n * 40503) & 0xFFFFFFFF
+
+
 def features(text: str, memo: Memo) -> np.ndarray:
-    """Distinct feature hashes of a text, sorted."""
-    found: set[int] = set()
-    for word in set(text.split()):
-        found.update(memo[word])
-    return np.array(sorted(found), np.uint32)
+    """Distinct feature hashes of a text, sorted: what its words have, and what several different words of it have."""
+    counts: dict[int, int] = {}
+    for own in {memo[raw] for raw in set(text.split())}:  # one for each different word
+        for h in own:
+            counts[h] = counts.get(h, 0) + 1
+    return np.array(sorted({at_least(h, n) for h, c in counts.items() for n in LEVELS if c >= n}), np.uint32)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -133,15 +141,21 @@ class Chain:
                     self.by_feature.setdefault(h, np.zeros(self.n))[c] = w
 
     def word(self, raw: str) -> tuple[int, ...]:
-        """Those of its features that have weight."""
-        return tuple(h for h in word_features(raw) if h in self.by_feature)
+        """The word, and those of its features that have weight at some level; nothing if none has."""
+        own = word_features(raw)
+        heavy = tuple(h for h in own if any(at_least(h, n) in self.by_feature for n in LEVELS))
+        return (own[0], *heavy) if heavy else ()
 
     def score(self, text: str, memo: Memo) -> np.ndarray:
-        found: set[int] = set()
-        found.update(*map(memo.__getitem__, set(text.split())))
+        counts: dict[int, int] = {}
+        for own in {memo[raw] for raw in set(text.split())}:
+            for h in own[1:]:
+                counts[h] = counts.get(h, 0) + 1
         z = self.bias.copy()
-        for h in sorted(found):
-            z += self.by_feature[h]
+        for h, c in sorted(counts.items()):
+            for n in LEVELS:
+                if c >= n and (w := self.by_feature.get(at_least(h, n))) is not None:
+                    z += w
         p = np.zeros(self.n)
         for c in range(self.n):
             p[c] = 1 / (1 + np.exp(-min(35, max(-35, z[c] + self.before[c] @ p[:c]))))
