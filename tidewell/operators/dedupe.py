@@ -38,19 +38,27 @@ def overlap_flag(df: DataFrame, other: DataFrame, key, name: str = "in_other") -
     return df.withColumn("__k", key(df)).join(keys, "__k", "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__k", "__hit")
 
 
+#: Rows (n-grams of queries) that may go to every task; more are joined in a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def containment(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, n: int = 8, threshold: float = 0.8) -> DataFrame:
-    """(query, document, share) where one document holds at least `threshold` of a query's n-grams. Only n-grams that some query has are shuffled from the corpus."""
+    """(query, document, share) where one document holds at least `threshold` of a query's n-grams. Few queries go to the corpus, which is then not shuffled."""
     q = queries.select(F.col(query_id).alias("q"), shingles(F.col("text"), n).alias("g")).where(F.size("g") > 0).select("q", F.size("g").alias("n_q"), F.explode("g").alias("g"))
     d = corpus.select(F.col(doc_id).alias("d"), F.explode(shingles(F.col("text"), n)).alias("g"))
-    hits = d.join(q, "g").groupBy("q", "d").agg(F.count("*").alias("k"), F.max("n_q").alias("n_q"))
+    hits = d.join(small_side(q), "g").groupBy("q", "d").agg(F.count("*").alias("k"), F.max("n_q").alias("n_q"))
     return hits.where(F.col("k") >= threshold * F.col("n_q")).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("k") / F.col("n_q")).alias("share"))
 
 
 def pooled_containment(queries: DataFrame, corpus: DataFrame, query_id: str, n: int = 8, threshold: float = 0.8) -> DataFrame:
     """Share of each query's n-grams found anywhere in the corpus, for those that reach the threshold."""
     q = queries.select(F.col(query_id).alias("q"), F.explode(shingles(F.col("text"), n)).alias("g"))
-    # distinct n-grams of queries, marked if the corpus has them: the corpus side is a semi join
-    seen = q.select("g").distinct().join(corpus.select(F.explode(shingles(F.col("text"), n)).alias("g")), "g", "left_semi").withColumn("hit", F.lit(1))
+    # n-grams of queries that the corpus has: what no query has is gone before anything is dealt out
+    seen = corpus.select(F.explode(shingles(F.col("text"), n)).alias("g")).join(small_side(q.select("g").distinct()), "g").distinct().withColumn("hit", F.lit(1))
     t = q.join(seen, "g", "left").groupBy("q").agg(F.count("*").alias("n"), F.count("hit").alias("k"))
     return t.where(F.col("k") >= threshold * F.col("n")).select(F.col("q").alias(query_id), (F.col("k") / F.col("n")).alias("share"))
 
@@ -61,9 +69,10 @@ def similar_pairs(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9
     Equal shingle sets are compared once. Of each set only a prefix is joined, its rarest shingles; similar sets share one there, so a
     shingle that many texts have is joined for those texts only that hold little else.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col("text"), n)).alias("s")).where(F.size("s") > 0)
-    reps = sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
-    long = reps.select("id", "n", F.explode("s").alias("g"))
+    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col("text"), n)).alias("s")).where(F.size("s") > 0).withColumn("k", F.sha2(F.array_join("s", "\n"), 256))
+    first = sets.groupBy("k").agg(F.min("id").alias("id"))
+    reps = sets.join(first, ["k", "id"], "left_semi").dropDuplicates(["k"]).withColumn("n", F.size("s"))
+    long = reps.select("id", "n", F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))  # two shingles of one hash make a candidate too many, no more
     df_ = long.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
     prefix = long.join(df_, "g").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1))
@@ -73,7 +82,7 @@ def similar_pairs(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9
     both = F.size(F.array_intersect("s_a", "s_b"))
     t = cand.join(own("a"), "a").join(own("b"), "b").withColumn("jaccard", both / (F.size("s_a") + F.size("s_b") - both))
     near = t.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    same = sets.join(reps.select("s", F.col("id").alias("a")), "s").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    same = sets.join(first.select("k", F.col("id").alias("a")), "k").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(same)
 
 
