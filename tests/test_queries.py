@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewell.plans.catalog import ORACLE_SQL, QUERIES
@@ -20,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, bool):
         return v
