@@ -122,6 +122,5 @@ def shared_keys(sets: DataFrame, set_col: str, key_col: str) -> DataFrame:
 
 def set_fingerprint(df: DataFrame, id_col: str) -> DataFrame:
     """sha256 over the digests of 4,096 blocks of sorted ids, and their number: equal for equal sets of ids, and no task holds more than a block."""
-    block = F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 3)
-    parts = df.select(F.col(id_col).cast("string").alias("id")).distinct().groupBy(block.alias("b") if id_col == "id" else F.substring(F.sha2("id", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    parts = df.select(F.col(id_col).cast("string").alias("id")).distinct().groupBy(F.substring(F.sha2("id", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n_ids"))

@@ -52,12 +52,9 @@ def chunk_scores(df: DataFrame, key: str, score: str, weight: str) -> DataFrame:
 
 def window_scores(df: DataFrame, key: str, score: str) -> DataFrame:
     """max, mean, mean of the two best, and sum. The two best are the largest and what a second largest leaves: no list is kept."""
-    s = F.col(score)
-    top = F.max(s)
-    t = df.groupBy(key, s.alias("s")).agg(F.count("*").alias("n"))
-    big = t.groupBy(key).agg(F.max("s").alias("max"), F.sum(F.col("s") * F.col("n")).alias("sum"), F.sum("n").alias("n"), F.max_by("n", "s").alias("ties"), F.max(F.struct("s")).alias("_"))
+    t = df.groupBy(key, F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    big = t.groupBy(key).agg(F.max("s").alias("max"), F.sum(F.col("s") * F.col("n")).alias("sum"), F.sum("n").alias("n"), F.max_by("n", "s").alias("ties"))
     second = t.join(big.select(key, "max"), key).where(F.col("s") < F.col("max")).groupBy(key).agg(F.max("s").alias("second"))
-    del top
     pair = F.when(F.col("ties") > 1, F.col("max")).otherwise(F.coalesce(F.col("second"), F.col("max")))
     return big.join(second, key, "left").select(key, "max", (F.col("sum") / F.col("n")).alias("mean"), ((F.col("max") + pair) / 2).alias("top2_mean"), "sum")
 
