@@ -25,6 +25,8 @@ from tidewell.llm.common import cut
 
 #: A subtree is a template from so many different pages of a host; a paragraph outside an article also needs this share of its pages.
 MIN_PAGES, MIN_SHARE = 5, 0.5
+#: Deletions (16 bytes each) up to which they go to every task; more meet the pages in a shuffle.
+MOST_BROADCAST = 200_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -232,7 +234,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: id, url, text, n_chars, n_deleted (template subtrees)."""
     parsed = cut(parse_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
     found = parsed.select("row", F.coalesce(F.col("host"), F.lit("")).alias("host"), F.explode("trees").alias("t")).select("row", "host", "t.h", "t.lo", "t.hi")
-    hits = found.join(templates(parsed), ["host", "h"]).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    hits = cut(found.join(templates(parsed), ["host", "h"]).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "template-hits")
+    size = hits.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
+    hits = F.broadcast(hits) if size <= MOST_BROADCAST else hits  # then the pages themselves are not shuffled
     cuts = F.coalesce(F.col("cuts"), F.array().cast("array<struct<lo:int,hi:int>>"))
     kept = F.filter("blocks", lambda _, i: ~F.exists(cuts, lambda c: (i >= c["lo"]) & (i < c["hi"])))
     text = F.array_join(kept, " ")
