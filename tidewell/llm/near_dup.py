@@ -7,7 +7,7 @@ the words within a band leaves at least 0.8 of their k-mers in common: M / (n1 +
 
 Equal texts are one node from the start. In each bucket only pairs with two leaders are aligned, whatever its size; buckets
 that then still hold several classes are taken apart exactly: by prefixes of their labelled k-mers, rarest first, of which two
-texts with that similarity must share one. Classes are connected components of the verified links. No step collects a group.
+texts with that similarity must share one, and by signatures that bound how far two texts differ. Classes are connected components of the verified links. No step collects a group.
 
 Null texts count as empty; equal texts (empty ones too) are one class. Texts of fewer than five words match equal texts only.
 Rows without id take no part (near_duplicates leaves them out, drop_near_duplicates keeps them). Rows that share an id are one
@@ -17,6 +17,7 @@ document: their texts fall into one class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,11 @@ from tidewell.llm.decontaminate import token_hash, tokens
 
 K, N_SKETCHES, PER_SKETCH, SIMILARITY = 5, 18, 3, 0.8
 #: Groups of up to this many texts that share a rare k-mer are compared as they are; leaders are tried first in larger ones.
-SMALL_GROUP, LEADER_ROUNDS = 32, 3
+SMALL_GROUP, LEADERS = 32, (3, 4, 5)
+#: Longs of a text's signature: bit i is the parity of the number of labelled k-mers with hash i. Each k-mer that only one of two
+#: texts has flips one bit, so that the bits in which they differ never exceed the k-mers in which they do.
+SIGNATURE = 16
+MARKS = [f"m{i}" for i in range(SIGNATURE)]
 _A = np.array([(0xD1342543DE82EF95 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(64)], np.uint64)
 
 
@@ -57,6 +62,12 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(occ == 0, h, mix(h + occ * _A[40]))
 
 
+def signature(toks: np.ndarray) -> np.ndarray:
+    h = labelled(kmers(toks))
+    odd = np.bincount((h * _A[50] >> np.uint64(40)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(toks: np.ndarray) -> np.ndarray:
     """N_SKETCHES hashes, or none for a text without k-mers."""
     h = kmers(toks)
@@ -145,14 +156,16 @@ def _sketched(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(token_hash)
         for batch in batches:
-            n, found = [], []
+            n, found, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 toks = tokens(text, memo)
                 n.append(max(0, len(toks) - K + 1))
                 found.append(sketches(toks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "n", "omh"])
+                marks.append(signature(toks))
+            own = np.array(marks, np.int64).reshape(-1, SIGNATURE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64())), *(pa.array(own[:, i]) for i in range(SIGNATURE))], names=["id", "key", "n", "omh", *MARKS])
 
-    return rows.mapInArrow(run, "id long, key string, n int, omh array<bigint>")
+    return rows.mapInArrow(run, "id long, key string, n int, omh array<bigint>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _sequences(rows: DataFrame) -> DataFrame:
@@ -201,9 +214,19 @@ def _led(members: DataFrame, group: str, salts: list[int]) -> DataFrame:
     return pairs.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
-def _of_like_length(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    n = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    return pairs.join(n("a"), "a").join(n("b"), "b").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b")
+def _sides(sizes: DataFrame, side: str, *more: str) -> DataFrame:
+    return sizes.select(*more, F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(m).alias(f"{m}_{side}") for m in MARKS))
+
+
+def _may_be_similar():
+    """What two similar texts fulfil: like lengths, and signatures that differ in no more bits than the k-mers in which they may differ, (1 - s) / (1 + s) of all. Holds for every similar pair."""
+    apart = lambda marks: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in marks))
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    return (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (apart(MARKS[:4]) <= most) & (apart(MARKS) <= most)
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    return pairs.join(_sides(sizes, "a"), "a").join(_sides(sizes, "b"), "b").where(_may_be_similar()).select("a", "b")
 
 
 def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -237,12 +260,12 @@ def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(verified links (a, b) between texts, rows (id, key), nodes (key, node)): a node is the smallest id of equal texts."""
     scan = _scan(docs, id_col, text_col)
     rows = cut(_sketched(scan), "sketches")
-    texts = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("omh").alias("omh")), "texts")
-    sizes = texts.groupBy("id").agg(F.min("n").alias("n"))
+    texts = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("omh").alias("omh"), *(F.any_value(m).alias(m) for m in MARKS)), "texts")
+    sizes = texts.select("id", "n", *MARKS)
     buckets = cut(texts.select("id", F.explode("omh").alias("bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(shared, "bucket"), "members")
-    pairs = cut(_of_like_length(_led(members, "bucket", [1, 2]), sizes), "pairs")
+    pairs = cut(_plausible(_led(members, "bucket", [1, 2]), sizes), "pairs")
     wanted = members.select("id").distinct()
     sequences = cut(_sequences(scan.join(texts.join(wanted, "id", "left_semi").select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])), "sequences")
     links = cut(_verified(pairs, sequences), "verified")
@@ -251,17 +274,16 @@ def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(rest, "rest")
     if rest.limit(1).count():
         found = cut(_prefixes(rest, sequences), "prefixes")
-        for salt in range(3, 3 + LEADER_ROUNDS):
-            large = _divided(_relabelled(found.where(F.col("df") > SMALL_GROUP), labels), "kmer")
-            more = cut(_verified(_of_like_length(_led(large, "kmer", [salt]), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
-            if not more.limit(1).count():
-                break
+        large = _divided(_relabelled(found.where(F.col("df") > SMALL_GROUP), labels), "kmer")
+        more = cut(_verified(_plausible(_led(large, "kmer", LEADERS), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
+        if more.limit(1).count():
             links = cut(links.unionByName(more), "verified")
             labels = components(links)
-        open_groups = cut(_divided(_relabelled(found, labels), "kmer"), "open")
-        left, right = (open_groups.select("kmer", F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-        last = left.join(right, "kmer").where("a < b and label_a <> label_b").select("a", "b").distinct()
-        links = links.unionByName(cut(_verified(_of_like_length(last, sizes), sequences), "verified"))
+        # what is left meets within its groups; pairs that can't be similar are told by their signatures and never leave the join
+        open_groups = cut(_divided(_relabelled(found, labels), "kmer").join(sizes, "id"), "open")
+        left, right = (_sides(open_groups, c, "kmer", F.col("label").alias(f"label_{c}")) for c in "ab")
+        last = left.join(right, (left["kmer"] == right["kmer"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar()).select("a", "b").distinct()
+        links = links.unionByName(cut(_verified(last, sequences), "verified"))
     return links.distinct(), rows.select("id", "key"), texts.select("key", F.col("id").alias("node"))
 
 
