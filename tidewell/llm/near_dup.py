@@ -240,7 +240,7 @@ def _divided(members: DataFrame, group: str) -> DataFrame:
 
 
 def _prefixes(ids: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(id, kmer, df): of the labelled k-mers of each text, rarest among these texts first, as many as a similar text must share one of, without those of one text only."""
+    """(id, kmer, df, rank): of the labelled k-mers of each text, rarest among these texts first, as many as a similar text must share one of, without those of one text only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +253,7 @@ def _prefixes(ids: DataFrame, sequences: DataFrame) -> DataFrame:
     rows = cut(sequences.join(ids, "id", "left_semi").mapInArrow(run, "id long, n int, kmer long"), "kmers")
     df = rows.groupBy("kmer").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer"))
-    return rows.join(df, "kmer").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(SIMILARITY * F.col("n")) + 1).where("df > 1").select("id", "kmer", "df")
+    return rows.join(df, "kmer").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(SIMILARITY * F.col("n")) + 1).where("df > 1").select("id", "kmer", "df", "rank")
 
 
 def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -281,8 +281,13 @@ def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(links)
         # what is left meets within its groups; pairs that can't be similar are told by their signatures and never leave the join
         open_groups = cut(_divided(_relabelled(found, labels), "kmer").join(sizes, "id"), "open")
-        left, right = (_sides(open_groups, c, "kmer", F.col("label").alias(f"label_{c}")) for c in "ab")
-        last = left.join(right, (left["kmer"] == right["kmer"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar()).select("a", "b").distinct()
+        left, right = (_sides(open_groups, c, "kmer", F.col("label").alias(f"label_{c}"), F.col("rank").alias(f"rank_{c}")) for c in "ab")
+        in_order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+        # of two similar texts the shorter has a common k-mer in a still shorter prefix, and enough k-mers follow it in both
+        short = F.col("rank_a") <= F.col("n_a") - F.ceil(2 * SIMILARITY / (1 + SIMILARITY) * F.col("n_a") - 1e-9) + 1
+        follow = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
+        met = left.join(right, (left["kmer"] == right["kmer"]) & in_order & (F.col("label_a") != F.col("label_b")) & short & follow & _may_be_similar())
+        last = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionByName(cut(_verified(last, sequences), "verified"))
     return links.distinct(), rows.select("id", "key"), texts.select("key", F.col("id").alias("node"))
 
