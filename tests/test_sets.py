@@ -43,6 +43,14 @@ def test_near_duplicates(spark):
     assert {p.id for p in dedupe.greedy_near_duplicates(df, "id", 5, 0.9).collect()} == gone
 
 
+def test_copies_of_a_dropped_text_go(spark):
+    r = random.Random(2)
+    z = " ".join(r.choices([f"w{i}" for i in range(200)], k=80))
+    texts = [z, "other words that are like no text here", z + " extra", z + " extra", "Other  words that are like no text here", z + " extra"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {p.id for p in dedupe.greedy_near_duplicates(df, "id", 5, 0.9).collect()} == {2, 3, 4, 5}
+
+
 def test_containment(spark):
     corpus = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "d long, text string")
     q = spark.createDataFrame([(1, "b c d e f g h i j"), (2, "b c d e f g h x y z")], "q long, text string")

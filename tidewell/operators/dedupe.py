@@ -63,14 +63,23 @@ def pooled_containment(queries: DataFrame, corpus: DataFrame, query_id: str, n:
     return t.where(F.col("k") >= threshold * F.col("n")).select(F.col("q").alias(query_id), (F.col("k") / F.col("n")).alias("share"))
 
 
-def similar_pairs(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9) -> DataFrame:
-    """All pairs (a < b) of texts with a Jaccard similarity of shingles of at least `threshold`, exactly.
+def _shingle_sets(df: DataFrame, id_col: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(texts with their shingles: id, s, k; the first id of each shingle set: k, id). k tells equal sets."""
+    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col("text"), n)).alias("s")).where(F.size("s") > 0).withColumn("k", F.sha2(F.array_join("s", "\n"), 256))
+    return sets, sets.groupBy("k").agg(F.min("id").alias("id"))
+
+
+def _copies(sets: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): b is a later text with the shingle set whose first text is a."""
+    return sets.select("id", "k").join(first.select("k", F.col("id").alias("a")), "k").where("id <> a").select("a", F.col("id").alias("b"))
+
+
+def _similar_sets(sets: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of different shingle sets with a similarity of at least `threshold`, each named by its first id (a < b).
 
-    Equal shingle sets are compared once. Of each set only a prefix is joined, its rarest shingles; similar sets share one there, so a
-    shingle that many texts have is joined for those texts only that hold little else.
+    Of each set only a prefix is joined, its rarest shingles; similar sets share one there, so a shingle that many texts have is
+    joined for those texts only that hold little else.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col("text"), n)).alias("s")).where(F.size("s") > 0).withColumn("k", F.sha2(F.array_join("s", "\n"), 256))
-    first = sets.groupBy("k").agg(F.min("id").alias("id"))
     reps = sets.join(first, ["k", "id"], "left_semi").dropDuplicates(["k"]).withColumn("n", F.size("s"))
     long = reps.select("id", "n", F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))  # two shingles of one hash make a candidate too many, no more
     df_ = long.groupBy("g").agg(F.count("*").alias("df"))
@@ -81,27 +90,38 @@ def similar_pairs(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9
     own = lambda c: reps.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     t = cand.join(own("a"), "a").join(own("b"), "b").withColumn("jaccard", both / (F.size("s_a") + F.size("s_b") - both))
-    near = t.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    same = sets.join(first.select("k", F.col("id").alias("a")), "k").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    return t.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def similar_pairs(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9) -> DataFrame:
+    """Pairs (a < b) of texts with a Jaccard similarity of shingles of at least `threshold`, exactly.
+
+    Equal shingle sets are compared once: the first text of a set stands for it in the pairs with other sets, and its copies are
+    paired with that text alone.
+    """
+    sets, first = _shingle_sets(df, id_col, n)
+    return _similar_sets(sets, first, threshold).unionByName(_copies(sets, first).withColumn("jaccard", F.lit(1.0)))
 
 
 def greedy_near_duplicates(df: DataFrame, id_col: str, n: int = 5, threshold: float = 0.9) -> DataFrame:
     """Ids dropped when texts are gone through by id and one goes if it is similar to an earlier one that stayed.
 
-    Rounds settle all ids without an unsettled earlier neighbour at once; the number of rounds is the length of the longest chain.
+    Of equal shingle sets at most the first text stays: a copy is similar to it, or to the kept text for which it went. Rounds therefore
+    run over sets. They settle all sets without an unsettled earlier neighbour at once; the number of rounds is the length of the longest chain.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewell-shared")
-    pairs = similar_pairs(df, id_col, n, threshold).select("a", "b").checkpoint()
+    sets, first = _shingle_sets(df, id_col, n)
+    pairs = _similar_sets(sets, first, threshold).select("a", "b").checkpoint()
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("state", F.lit(0))  # 1 stays, 2 goes
     while True:
         before = pairs.join(state.select(F.col("id").alias("a"), "state"), "a").groupBy("b").agg(F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("kept"), F.max(F.when(F.col("state") == 0, 1).otherwise(0)).alias("open"))
         new = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("kept", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
         state = state.join(before.withColumnRenamed("b", "id"), "id", "left").select("id", new.alias("state")).checkpoint()
         if not state.where("state = 0").limit(1).count():
-            return state.where("state = 2").select(F.col("id").alias(id_col))
+            gone = state.where("state = 2").select("id").unionByName(_copies(sets, first).select(F.col("b").alias("id")))
+            return gone.select(F.col("id").alias(id_col)).distinct()
 
 
 def duplicate_stats(df: DataFrame, text: str = "text") -> DataFrame:
