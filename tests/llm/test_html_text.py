@@ -54,3 +54,16 @@ def test_templates_of_a_site_go(spark):
     assert all(text[300 + i] == "Same copied page all over" for i in range(9))
     assert text[400] == text[401] == "" and text[402] == "x" and len(text[None]) == 4 + 5 * 100_000
     assert H.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_what_a_few_pages_of_a_host_share_stays(spark):
+    shared = "<section><p>A passage</p><ul><li>and a list</ul></section>"
+    rows = [(i, f"http://a.org/{i}", f"<div><h1>T {i}</h1>{shared if i < 5 else ''}<p>own {i}</p></div>") for i in range(40)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<article><h1>T {i}</h1>{shared}<p>own {i}</p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://c.org/{i}", f"<article><h1>T {i}</h1><div>Read on</div><p>own {i}</p></article>") for i in range(8)]
+    rows += [(300 + i, f"http://d.org/{i}", f"<div><h1>T {i % 10}</h1>{shared if i % 10 < 6 else ''}<p>own {i % 10}</p></div>") for i in range(40)]  # copies count once
+    got = {r.page_id: r for r in H.main_text(spark.createDataFrame([(*r, "h", "b", 7) for r in rows], PAGES)).collect()}
+    assert all(got[i].text == f"T {i} A passage and a list own {i}" and not got[i].n_deleted for i in range(5))
+    assert all(got[100 + i].text == f"T {i} A passage and a list own {i}" and not got[100 + i].n_deleted for i in range(8))
+    assert all(got[200 + i].text == f"T {i} own {i}" and got[200 + i].n_deleted == 1 for i in range(8))
+    assert all("A passage" not in got[300 + i].text for i in range(40))

@@ -3,9 +3,9 @@
 Each page is read once into blocks of text and the element subtrees around them. A subtree's hash covers its tags and text.
 Subtrees are counted for each host in Spark, over pages with otherwise different content (the smallest block hash outside the
 subtree tells them apart, so that copies of a page do not make its text a template), and those that recur on many pages of a
-host are deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are deleted by
+host and on a share of its different pages are deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are deleted by
 tag, role and class as well; where a page marks its article, only that is read, and within it paragraphs, headings and list
-items are never taken for templates, since unrelated articles may quote the same passage.
+items are never taken for templates, alone or as all that a container holds, since unrelated articles may quote the same passage.
 
 Null html counts as empty; a page without text gives an empty one. A null url is a host of its own. Rows repeat as they are
 given. Broken mark-up is closed as HTML prescribes for paragraphs, list items and table parts; what is never closed ends with the page.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.common import cut
 
-#: A subtree is a template from so many different pages of a host; a paragraph outside an article also needs this share of its pages.
+#: A subtree is a template from so many different pages of a host, if they are also this share of its different pages.
 MIN_PAGES, MIN_SHARE = 5, 0.5
 #: Deletions (16 bytes each) up to which they go to every task; more meet the pages in a shuffle.
 MOST_BROADCAST = 200_000
@@ -179,8 +179,8 @@ class Page:
         return 0, len(self.blocks), False
 
 
-def read_page(source: str) -> tuple[list[str], list[tuple[int, int, int, int, bool]]]:
-    """(blocks of the article, subtrees in it): a subtree has its hash, first and end block, the smallest block hash outside it, and whether it is a paragraph-like one."""
+def read_page(source: str) -> tuple[list[str], list[tuple[int, int, int, int, int]], int]:
+    """(blocks of the article, subtrees in it, hash of its content): a subtree has its hash, first and end block, and of the blocks outside it the smallest hash and that of all."""
     page = Page(source)
     lo, hi, marked = page.main()
     drop = [False] * len(page.blocks)
@@ -193,41 +193,52 @@ def read_page(source: str) -> tuple[list[str], list[tuple[int, int, int, int, bo
         if not drop[i]:
             index[i] = len(blocks)
             blocks.append(page.blocks[i])
-    hashes = sorted((text_hash(b), i) for i, b in enumerate(blocks))
+    own = [text_hash(b) for b in blocks]
+    hashes = sorted((h, i) for i, h in enumerate(own))
+    total = [0]
+    for h in own:
+        total.append((total[-1] + h) % _MOD)
+    protected = [False] * len(page.blocks)
     trees = []
+    if marked:
+        for tag, _, a, b, _, _ in page.elements:
+            if tag in FLOW and lo <= a and b <= hi and not (a <= lo and hi <= b):
+                protected[a:b] = [True] * (b - a)
     for tag, _, a, b, h, _ in page.elements:
         flow = tag in FLOW
         if a < b and tag not in ("html", "head", "body") and lo <= a and b <= hi and not (flow and marked) and not (a <= lo and hi <= b):
             kept = [index[i] for i in range(a, b) if i in index]
-            if kept and len(kept) < len(blocks):
+            if kept and len(kept) < len(blocks) and not all(protected[i] for i in range(a, b) if i in index):
                 x, y = kept[0], kept[-1] + 1
-                trees.append((h, x, y, next((g for g, i in hashes if not x <= i < y), 0), flow))
-    return blocks, trees
+                trees.append((h, x, y, next((g for g, i in hashes if not x <= i < y), 0), (total[-1] - total[y] + total[x]) % _MOD))
+    return blocks, trees, total[-1]
 
 
 def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    tree = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("other", pa.int64()), ("flow", pa.bool_())]))
+    tree = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("other", pa.int64()), ("rest", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, trees, hosts = [], [], []
+            blocks, trees, hosts, content = [], [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                b, t = read_page(source or "")
+                b, t, c = read_page(source or "")
                 blocks.append(b)
-                trees.append([dict(zip(("h", "lo", "hi", "other", "flow"), x, strict=True)) for x in t])
+                trees.append([dict(zip(("h", "lo", "hi", "other", "rest"), x, strict=True)) for x in t])
                 hosts.append(host(url))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(blocks, pa.list_(pa.string())), pa.array(trees, tree)], names=["id", "url", "host", "blocks", "trees"])
+                content.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(blocks, pa.list_(pa.string())), pa.array(trees, tree), pa.array(content, pa.int64())], names=["id", "url", "host", "blocks", "trees", "content"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, host string, blocks array<string>, trees array<struct<h:bigint,lo:int,hi:int,other:bigint,flow:boolean>>")
+    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, host string, blocks array<string>, trees array<struct<h:bigint,lo:int,hi:int,other:bigint,rest:bigint>>, content long")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
     """(host, h) of subtrees that recur on many different pages of a host. Distinct before counting, so that a hot host is summed where it is read."""
     host_key = F.coalesce(F.col("host"), F.lit("")).alias("host")
-    counts = parsed.select(host_key, F.explode("trees").alias("t")).select("host", "t.h", "t.other", "t.flow").distinct().groupBy("host", "h").agg(F.count("*").alias("n"), F.max("flow").alias("flow"))
-    hosts = parsed.select(host_key, F.coalesce(F.array_min(F.transform("trees", lambda t: t["other"])), F.lit(0)).alias("other")).distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    return counts.where(F.col("n") >= MIN_PAGES).join(hosts, "host").where(~F.col("flow") | (F.col("n") >= MIN_SHARE * F.col("n_pages"))).select("host", "h")
+    pages = parsed.select(host_key, F.explode("trees").alias("t")).select("host", "t.h", "t.other", "t.rest").distinct().groupBy("host", "h", "other").agg(F.count("*").alias("n"))
+    counts = pages.groupBy("host", "h").agg(F.count("*").alias("n_apart"), F.sum("n").alias("n")).where(F.col("n_apart") >= MIN_PAGES)
+    hosts = parsed.select(host_key, "content").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    return counts.join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("n_pages")).select("host", "h")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
