@@ -26,6 +26,17 @@ def test_exact_wording_decides():
     assert [f[2] for f in found] == ["MIT"] and "-associated" in found[0][4]
 
 
+def test_repeated_notices_are_all_found():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    for gap, n in ((5, 3), (40, 6), (900, 5), (0, 40)):  # one line, a long line, far apart, side by side
+        text = ("filler " * gap).join(f"{mit} filler {apache} " for _ in range(n))
+        want = sorted((m.start(), m.end() - 1, name) for t, name in ((mit, "MIT"), (apache, "Apache-2.0")) for m in re.finditer(re.escape(t), text))
+        got = S.scan(text)
+        assert [(a, name) for a, _, name, *_ in got] == [(a, name) for a, _, name in want] and not any(f[4] for f in got), (gap, n)
+    # a nearer passage of another wording does not hide one
+    assert names("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-NC-4.0"]
+
+
 def test_find_is_approximate_matching():
     t = L.Template("x", "a b c d e f g h i j")
     assert t.find("q q a b c d e f g h i j q".split()) == (12, 0)

@@ -10,6 +10,7 @@ Null and empty texts hold no licence. Rows repeat as they are given, with their
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -88,11 +89,11 @@ class Template:
         data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
-    def find(self, own: list[str]) -> tuple[int, int] | None:
-        """(end, distance) of the passage nearest to the template: approximate matching of word sequences, bit-parallel."""
+    def ends(self, own: list[str]) -> list[tuple[int, int]]:
+        """(distance, end) of all passages near enough to the template, nearest first: approximate matching of word sequences, bit-parallel."""
         m = len(self.words)
         full, top = (1 << m) - 1, 1 << (m - 1)
-        pv, mv, dist, best = full, 0, m, (m + 1, 0)
+        pv, mv, dist, most, out = full, 0, m, MOST_DIFFERENT * m, []
         for j, w in enumerate(own):
             eq = self.masks.get(w, 0)
             xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
@@ -100,26 +101,43 @@ class Template:
             dist += bool(ph & top) - bool(mh & top)
             ph, mh = ph << 1 & full, mh << 1 & full  # a passage may start anywhere
             pv, mv = mh | ~(xv | ph) & full, ph & xv
-            best = min(best, (dist, j + 1))
-        return (best[1], best[0]) if best[0] <= MOST_DIFFERENT * m else None
-
-    def confirm(self, own: list[str]) -> tuple[int, int, list[str]] | None:
-        """(start, end, differing words) of its passage in a list of words, or None."""
-        found = self.find(own)
-        if found is None:
-            return None
-        end, slack = found[0], found[1] + 1
-        lo = max(0, end - len(self.words) - slack)
+            if dist <= most:
+                out.append((dist, j + 1))
+        return sorted(out)
+
+    def find(self, own: list[str]) -> tuple[int, int] | None:
+        """(end, distance) of the passage nearest to the template."""
+        found = self.ends(own)
+        return (found[0][1], found[0][0]) if found else None
+
+    def compare(self, own: list[str], first: int, end: int, distance: int) -> tuple[int, list[str] | None]:
+        """(start, differing words) of a passage that ends there and starts at word `first` at the earliest; no words if it is another wording."""
+        lo = max(first, end - len(self.words) - distance - 1)
         ops = difflib.SequenceMatcher(None, self.words, own[lo:end], autojunk=False).get_opcodes()
-        start = lo + next(j1 for tag, _, _, j1, _ in ops if tag == "equal")
+        start = lo + next((j1 for tag, _, _, j1, _ in ops if tag == "equal"), 0)
         gone, new = [], []
         for tag, i1, i2, j1, j2 in ops:
             if tag != "equal":
                 gone += self.words[i1:i2]
                 new += own[max(start, lo + j1) : lo + j2] if lo + j2 > start else []
         if len(gone) + len(new) > 2 * MOST_DIFFERENT * len(self.words) or any(map(deciding, gone + new)):
-            return None
-        return start, end, [f"-{w}" for w in gone] + [f"+{w}" for w in new]
+            return start, None
+        return start, [f"-{w}" for w in gone] + [f"+{w}" for w in new]
+
+    def confirm(self, own: list[str]) -> list[tuple[int, int, list[str], int]]:
+        """(start, end, differing words, distance) of its passages in a list of words, nearest first. They do not overlap."""
+        taken: list[tuple[int, int]] = []  # passages in order, those of another wording too
+        out = []
+        for distance, end in self.ends(own):
+            i = bisect.bisect_left(taken, (end,))  # the first that starts there or later
+            first = taken[i - 1][1] if i else 0
+            if len(self.words) - (end - first) > MOST_DIFFERENT * len(self.words):
+                continue  # what lies before it leaves too few words
+            start, words_ = self.compare(own, first, end, distance)
+            taken.insert(i, (start, end))
+            if words_ is not None:
+                out.append((start, end, words_, distance))
+        return out
 
 
 class Scanner:
@@ -140,12 +158,18 @@ class Scanner:
         raw = text.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
         ranked = sorted(((alone - len(t.packer.compress(raw)), i) for i, t in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
+        nearest, more = [], []
+        for rank, (saved, i) in enumerate(ranked[:TRIED] + [r for r in ranked[TRIED:] if r[0] > 8]):
+            if saved > 0:
+                t = self.templates[i]
+                found = [(d, rank, own[a][1], own[b - 1][2], t.name, round(saved / alone, 4), " ".join(w)) for a, b, w, d in t.confirm(only)]
+                nearest += found[:1]
+                more += found[1:]
         out: list[tuple] = []
-        for saved, i in ranked[:TRIED] + [r for r in ranked[TRIED:] if r[0] > 8]:
-            if saved > 0 and (found := self.templates[i].confirm(only)):
-                start, end = own[found[0]][1], own[found[1] - 1][2]
-                if all(end <= a or b <= start for a, b, *_ in out):
-                    out.append((start, end, self.templates[i].name, round(saved / alone, 4), " ".join(found[2])))
+        # the nearest passage of each template, best template first, and then what else is like one
+        for _, _, start, end, *rest in nearest + sorted(more):
+            if all(end <= a or b <= start for a, b, *_ in out):
+                out.append((start, end, *rest))
         return out
 
     def scan(self, text: str) -> list[tuple]:
@@ -163,7 +187,10 @@ class Scanner:
             at = lo
             if not own or any(b - a > 400 for a, b, *_ in own):
                 at = max(0, m.start() - 8 * self.reach)
-                wide = self.memo[text[at : m.end() + 8 * self.reach]]
+                to = min(len(text), m.end() + 8 * self.reach)
+                # what the window may have cut off is left to its own cue
+                least, most = 2 * self.reach * (at > 0), to - at - 2 * self.reach * (to < len(text))
+                wide = [f for f in self.memo[text[at:to]] if least <= f[0] and f[1] <= most or f[0] <= m.start() - at < f[1]]
                 if wide:
                     own = wide
                 else:
