@@ -103,6 +103,24 @@ def test_against_brute_force_on_documents(spark):
     assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == brute(rows)
 
 
+def test_the_pair_of_three_that_no_leader_was_in(make_docs, spark):
+    # the first of three ids has the smallest hash by both salts
+    h = {r.id: (r.x, r.y) for r in spark.range(60).selectExpr("id", "xxhash64(id, 1) x", "xxhash64(id, 2) y").collect()}
+    first, b, c = next(t for t in itertools.permutations(h, 3) if all(h[t[0]][s] < min(h[t[1]][s], h[t[2]][s]) for s in (0, 1)))
+    core, more = [f"core{i}" for i in range(85)], lambda name, n: [f"{name}{i}" for i in range(n)]
+    toks = lambda w: tokens(" ".join(w), MEMO)
+    for k in range(10_000):
+        text = {first: core + more(f"a{k}x", 11), b: core + more("b", 10), c: core + more("c", 10)}
+        x, y, z = (N.sketches(toks(text[i])) for i in (first, b, c))
+        if (y == z).any() and (x == y)[y == z].all():
+            break
+    else:
+        raise AssertionError("no such triple")
+    assert N.similar(toks(text[b]), toks(text[c])) and not any(N.similar(toks(text[first]), toks(text[i])) for i in (b, c))
+    rows = [(i, " ".join(w)) for i, w in text.items()]
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(make_docs(rows)).collect()} == brute(rows) == {first: first, b: min(b, c), c: min(b, c)}
+
+
 def test_edges(make_docs, spark):
     docs = make_docs([(2, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (5, "p q r s t u v"), (5, "h i j k l m n"), (6, "h i j k l m n"), (None, "a b c d e f g"), (None, None)])
     got = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}

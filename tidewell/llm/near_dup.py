@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import Memo, cut
 from tidewell.llm.decontaminate import token_hash, tokens
@@ -207,10 +207,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _led(members: DataFrame, group: str, salts: list[int]) -> DataFrame:
-    """Pairs (a < b) of each member with the leaders of its group; leaders are the members with the smallest salted hashes, found by partial sums."""
-    leaders = members.groupBy(group).agg(*(F.min_by("id", F.xxhash64("id", F.lit(s))).alias(f"l{s}") for s in salts), F.count("*").alias("size")).where("size > 1")
-    pairs = members.join(leaders, group).select("id", F.explode(F.array(*(F.col(f"l{s}") for s in salts))).alias("lead"))
+def _salted(salt: int) -> Column:
+    return F.xxhash64("id", F.lit(salt))
+
+
+def _led(members: DataFrame, group: str, leads: list[Column]) -> DataFrame:
+    """Pairs (a < b) of each member with the leaders of its group; leaders are the members with the smallest or greatest salted hashes, found by partial sums."""
+    names = [f"l{i}" for i in range(len(leads))]
+    leaders = members.groupBy(group).agg(*(c.alias(n) for c, n in zip(leads, names, strict=True)), F.count("*").alias("size")).where("size > 1")
+    pairs = members.join(leaders, group).select("id", F.explode(F.array(*names)).alias("lead"))
     return pairs.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
@@ -265,17 +270,17 @@ def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = cut(texts.select("id", F.explode("omh").alias("bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(shared, "bucket"), "members")
-    pairs = cut(_plausible(_led(members, "bucket", [1, 2]), sizes), "pairs")
+    pairs = cut(_plausible(_led(members, "bucket", [F.min_by("id", _salted(1)), F.max_by("id", _salted(1))]), sizes), "pairs")
     wanted = members.select("id").distinct()
     sequences = cut(_sequences(scan.join(texts.join(wanted, "id", "left_semi").select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])), "sequences")
     links = cut(_verified(pairs, sequences), "verified")
     labels = components(links)
-    rest = _divided(_relabelled(members.where("size > 3"), labels), "bucket").select("id").distinct()  # two leaders meet all pairs of three
+    rest = _divided(_relabelled(members.where("size > 3"), labels), "bucket").select("id").distinct()  # two leaders, which always differ, meet all pairs of three
     rest = cut(rest, "rest")
     if rest.limit(1).count():
         found = cut(_prefixes(rest, sequences), "prefixes")
         large = _divided(_relabelled(found.where(F.col("df") > SMALL_GROUP), labels), "kmer")
-        more = cut(_verified(_plausible(_led(large, "kmer", LEADERS), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
+        more = cut(_verified(_plausible(_led(large, "kmer", [F.min_by("id", _salted(s)) for s in LEADERS]), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
         if more.limit(1).count():
             links = cut(links.unionByName(more), "verified")
             labels = components(links)
