@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from tidewell.llm import decontaminate as D
 from tidewell.llm.common import Memo
 
@@ -66,3 +69,39 @@ def test_blocks_and_edges(spark, make_docs, monkeypatch):
     assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {1, 2}
     assert D.contaminated(make_docs([]), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == 6
+
+
+def test_all_placements_of_the_allowed_substitutions():
+    for n in range(8, 17):
+        index = D.Index([(1, " ".join(f"w{i}" for i in range(n)))])
+        for places in itertools.combinations(range(n), n // 5):
+            text = [f"x{i}" if i in places else f"w{i}" for i in range(n)]
+            found = D.overlaps(D.tokens(" ".join(["a", "b", *text, "c"]), MEMO), index)
+            assert [f[:3] for f in found] == [(1, n - len(places), n)], places
+
+
+def test_fewest_substitutions_without_a_seed():
+    # of the last tokens (1: replaced) the fewest replaced so far, over all ways that leave no seed
+    kept = [(len(m), [i for i, c in enumerate(m) if c == "1"]) for m in D.MASKS]
+    fewest = {(): 0}
+    for n in range(1, 100):
+        new: dict[tuple, int] = {}
+        for (last, c), b in itertools.product(fewest.items(), (0, 1)):
+            w = (*last, b)[-8:]
+            if all(len(w) < k or any(w[len(w) - k + i] for i in at) for k, at in kept):
+                new[w[-7:]] = min(new.get(w[-7:], n), c + b)
+        fewest = new
+        assert n < 8 or min(fewest.values()) > n // 5, n
+
+
+def test_every_segment_of_the_share_counts():
+    words = [f"w{i}" for i in range(60)]
+    index = D.Index([(1, " ".join(words))])
+    quoted = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words[:40])]
+    assert D.overlaps(D.tokens(" ".join(["a", *quoted, "b"]), MEMO), index) == [(1, 32, 60, 1, 39)]
+    r = random.Random(6)
+    for _ in range(2000):
+        equal = np.array([r.random() < 0.75 for _ in range(r.randint(1, 50))])
+        most = max((int(equal[x:y].sum()) for x in range(len(equal)) for y in range(x + 1, len(equal) + 1) if equal[x:y].sum() * 5 >= (y - x) * 4), default=0)
+        start, end, same = D.longest_segment(equal)
+        assert same == most == equal[start:end].sum() and same * 5 >= (end - start) * 4

@@ -6,8 +6,9 @@ tolerated. The benchmark is the stated query set: its seed index goes to the tas
 (checked), one pass over the documents for each block, so that a benchmark of any size is covered whole.
 
 Tokens are white-space separated, case-folded and stripped to letters and digits. An overlap counts if 0.8 of the item's tokens
-are equal, or if its best segment (one point for an equal token, four off for another, hence a similarity of 0.8 or more) has
-at least 13 equal tokens. Items of five to seven tokens are matched whole; shorter ones match nothing. Null or empty texts match
+are equal, or if a segment of which 0.8 are equal has at least 13 equal tokens; every such overlap has a seed. Reported is the
+segment with most points (one for an equal token, four off for another) if it has 13 equal tokens, or else the one with most
+equal tokens. Items of five to seven tokens are matched whole; shorter ones match nothing. Null or empty texts match
 nothing; repeated rows give the same result once for each id; an empty benchmark gives no rows.
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.common import Memo
 
-#: 1 keeps a token, 0 ignores it.
-MASKS = ("11110001", "11001011", "10111001")
+#: 1 keeps a token, 0 ignores it. However a fifth of eight or more tokens is replaced, one of them is left whole;
+#: without the shorter one that would not hold for 8, 10, 15 and 16 tokens.
+MASKS = ("11110001", "11001011", "10111001", "1011101")
 SPAN = len(MASKS[0])
 SHORTEST = 5
 MIN_MATCHED, MIN_SHARE, MISMATCH = 13, 0.8, -4
@@ -67,11 +69,11 @@ class Index:
         self.ids = [i for i, _ in items]
         self.toks = [tokens(t or "", memo) for _, t in items]
         short = sorted({len(t) for t in self.toks if SHORTEST <= len(t) < SPAN})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        self.masks = [*MASKS, *("1" * n for n in short)]  # those of short items keep all tokens
         found = []
         for k, toks in enumerate(self.toks):
             for mask in self.masks:
-                if len(mask) >= SPAN or len(mask) == len(toks):
+                if len(toks) >= SPAN if mask in MASKS else len(mask) == len(toks):
                     h = seed_hashes(toks, mask)
                     found.append((h, np.full(len(h), k), np.arange(len(h))))
         h, item, pos = (np.concatenate([x[i] for x in found] or [np.empty(0)]) for i in range(3))
@@ -106,12 +108,26 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def longest_segment(equal: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal tokens) of the segment with most equal tokens of those with no less than 0 points, that is, with a share of 0.8."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
+    low = np.minimum.accumulate(total)
+    starts = np.searchsorted(-low, -total, "left")  # for each end the first start with no more points before it
+    same = np.concatenate([[0], np.cumsum(equal)])
+    end = int(np.argmax(same - same[starts]))
+    at = np.flatnonzero(equal[starts[end] : end]) + starts[end]
+    return (int(at[0]), int(at[-1]) + 1, len(at)) if len(at) else (0, 0, 0)
+
+
 def segment(equal: np.ndarray, n: int) -> tuple[int, int, int] | None:
     """(start, end, equal tokens) of what counts as an overlap with an item of n tokens along a diagonal, or None."""
     if (same := int(equal.sum())) >= math.ceil((MIN_SHARE if n >= SPAN else 1) * n):
         at = np.flatnonzero(equal)
         return int(at[0]), int(at[-1]) + 1, same
+    if same < MIN_MATCHED:
+        return None
     found = best_segment(equal)
+    found = found if found[2] >= MIN_MATCHED else longest_segment(equal)
     return found if found[2] >= MIN_MATCHED else None
 
 
