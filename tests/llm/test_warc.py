@@ -2,6 +2,8 @@ import hashlib
 import io
 import zlib
 
+import pytest
+
 from tidewell.llm import warc
 
 PAGES = "page_id long, url string, html string, payload_digest string, first_id long, path string"
@@ -48,3 +50,34 @@ def test_false_magic_is_passed_over():
     for step in (1, 7, 64, 1000):
         found = [warc.parse(m)[0] for a in range(0, len(data), step) for m in warc.members(io.BytesIO(data), len(data), a, min(len(data), a + step))]
         assert found == [0, 1, 2]
+
+
+def archive(n):
+    return [warc.record(i, "u", bytes([65 + i]) * 300, hashlib.sha256(bytes([65 + i]) * 300).hexdigest(), None, False) for i in range(n)]
+
+
+def read(data, step=1 << 20):
+    return [warc.parse(m)[0] for a in range(0, len(data), step) for m in warc.members(io.BytesIO(data), len(data), a, min(len(data), a + step))]
+
+
+@pytest.mark.parametrize("step", [9, 1 << 20])
+def test_damaged_and_truncated_archives_are_errors(step):
+    good = archive(3)
+    body = bytearray(good[1])
+    body[len(body) // 2] ^= 0x55
+    crc = bytearray(good[1])
+    crc[-6] ^= 1
+    for bad in (bytes(body), bytes(crc)):
+        with pytest.raises(ValueError):
+            read(good[0] + bad + good[2], step)
+    for end in (1, 9, 60):
+        with pytest.raises((EOFError, ValueError)):
+            read(good[0] + good[1][:-end], step)
+    assert read(b"".join(good), step) == [0, 1, 2]
+
+
+def test_a_hot_payload(spark):
+    rows = [(i, "<p>same</p>" * 20 if i % 3 == 0 else "short" if i % 3 == 1 else f"<p>own {i}</p>" * 20) for i in range(90)]
+    pages = spark.createDataFrame([(i, None, h, "d", 1, "p") for i, h in rows], PAGES).repartition(5)
+    got = sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in warc.warc_round_trip(pages).collect()), key=repr)
+    assert got == expected(rows)

@@ -3,7 +3,8 @@
 The writer puts each record into a gzip member of its own, one archive for each task, under a name of its own for each
 attempt; a table with the committed names is written through Spark, so that files of lost or repeated attempts are never read.
 The reader's tasks each take a byte range of an archive, look for gzip magic in it, take a place for a member if it decodes to
-a WARC version line, and own the records that start inside the range, reading on past its end to finish the last one.
+a WARC version line, and own the records that start inside the range, reading on past its end to finish the last one. A member
+that starts with that line and then can't be decoded, ends early or fails its checksum is damaged: an error, never a skipped record.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest id is a response and others revisit it;
 rows with its very id are responses too. Null html counts as empty, a null url leaves the target header out, and a null id is
@@ -68,26 +69,34 @@ def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
     file.seek(start)
     buf, at = file.read(min(size, end + len(MAGIC) - 1) - start), 0
     while (at := buf.find(MAGIC, at)) >= 0 and start + at < end:
-        unpack, ahead, out, head = zlib.decompressobj(31), at, [], b""
+        # the version line alone tells a record from magic that came up by chance
+        probe, ahead, head = zlib.decompressobj(31), at, b""
         try:
-            while not unpack.eof:
+            while VERSION.startswith(head) and len(head) < len(VERSION) and not probe.eof:
                 if ahead >= len(buf):
-                    more = file.read(1 << 20)
-                    if not more and head == VERSION:
-                        raise EOFError(f"an archive ends inside the record at {start + at}")
-                    if not more:
+                    if not (more := file.read(1 << 16)):
                         break
                     buf += more
-                out.append(unpack.decompress(buf[ahead : ahead + (65536 if head else 512)]))
-                ahead = min(ahead + (65536 if head else 512), len(buf))
-                head = head if len(head) == len(VERSION) else (head + out[-1])[: len(VERSION)]
-                if not VERSION.startswith(head):
-                    break
+                head += probe.decompress(probe.unconsumed_tail + buf[ahead : ahead + 512], len(VERSION) - len(head))
+                ahead = min(ahead + 512, len(buf))
         except zlib.error:
             head = b""
-        if head != VERSION:  # not a record: the magic came up by chance
+        if head != VERSION:
+            if head and VERSION.startswith(head) and not probe.eof:
+                raise EOFError(f"an archive ends inside the record at {start + at}")
             at += 1
             continue
+        unpack, ahead, out = zlib.decompressobj(31), at, []
+        try:
+            while not unpack.eof:
+                if ahead >= len(buf):
+                    if not (more := file.read(1 << 20)):
+                        raise EOFError(f"an archive ends inside the record at {start + at}")
+                    buf += more
+                out.append(unpack.decompress(buf[ahead : ahead + 65536]))
+                ahead = min(ahead + 65536, len(buf))
+        except zlib.error as e:
+            raise ValueError(f"the record at {start + at} is damaged: {e}") from e
         yield b"".join(out)
         at = ahead - len(unpack.unused_data)
 
@@ -97,11 +106,18 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def digests(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """pages with payload_bytes, payload_digest, and refers_to for revisits. Only ids and digests are aggregated; the pages are dealt by digest once."""
+    """pages with payload_bytes, payload_digest, and refers_to for revisits.
+
+    Only ids and digests are aggregated. What is joined is the table of digests that several pages have, and it is written first,
+    so that the adaptive planner broadcasts it if it is small and else can split the pages of one digest. Short payloads take no
+    part in the join: they are dealt by their number.
+    """
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     with_digest = pages.withColumns({"payload_bytes": F.octet_length(binary).cast("long"), "payload_digest": F.sha2(binary, 256)})
-    first = with_digest.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(id_col).alias("first_id"))
-    return with_digest.join(first, "payload_digest", "left").withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    shared = with_digest.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(shared.select(F.col("payload_digest").alias("key"), "first_id"), "warc-digests")
+    key = F.when(F.col("payload_bytes") >= MIN_REVISIT, F.col("payload_digest")).otherwise(F.monotonically_increasing_id().cast("string"))
+    return with_digest.withColumn("key", key).join(shared, "key", "left").withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id", "key")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
