@@ -20,7 +20,7 @@ def brute(rows, k, of=lambda i: i % 20 == 0):
     out = set()
     for q, v in whole.items():
         if of(q):
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))[:k]
+            scored = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, w)))), i) for i, w in whole.items() if i != q and len(w) == len(v))[:k]
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
     return out
 
@@ -56,3 +56,21 @@ def test_bounds_prune():
         s[i] = -np.inf
         want = np.lexsort((ids, -s))[:20]
         assert found[20 * i : 20 * i + 20] == want.tolist() and score[20 * i : 20 * i + 20] == s[want].astype(int).tolist()
+
+
+def test_components_beyond_64_bits(spark):
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) * 10.0 ** r.choice([0, 0, 3, 8, 17, 30]) for _ in range(6)]) for i in range(120)] + [(200, [3e8] * 6), (201, [1e30, -1e30, 1.0, 0.0, 0.0, 0.0]), (220, [-1e30, 1e30, 1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2, 3) for i, v in rows], ROWS)
+    assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()} == brute(rows, 7)
+    wide = [(i, [float(np.float32(c)) if abs(c) < 1e38 else 1e30 for c in v]) for i, v in rows]
+    as_floats = spark.createDataFrame([(i, v, 1, "x", 2, 3) for i, v in wide], ROWS.replace("array<double>", "array<float>"))
+    assert {tuple(x) for x in topk.top_k(as_floats, F.col("vec_id") % 20 == 0, 7).collect()} == brute(wide, 7)
+
+
+def test_norms_far_apart(spark):
+    """Bands of small norms are left out, and negative best scores keep them in."""
+    r = random.Random(10)
+    rows = [(i, [r.gauss(0, 1) * 1.03 ** (i % 200) for _ in range(8)]) for i in range(600)] + [(1000, [-1.0] * 8)] + [(1001 + i, [5.0] * 8) for i in range(40) if (1001 + i) % 20]
+    df = spark.createDataFrame([(i, v, 1, "x", 2, 3) for i, v in rows], ROWS)
+    assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, 9).collect()} == brute(rows, 9)
