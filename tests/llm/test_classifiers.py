@@ -51,7 +51,7 @@ def test_toxicity_on_held_out_documents(spark):
     p = np.array([chain.score(r.text, memo)[-1] >= chain.threshold for r in rows])
     y = np.array([r.toxic for r in rows], bool)
     assert (p & y).sum() / p.sum() > 0.9 and (p & y).sum() / y.sum() > 0.85
-    assert "is_toxic" in scored.columns and [k.n for k in [chain]] == [4]
+    assert "is_toxic" in scored.columns and chain.links == ["quality", "toxic"]
 
 
 def test_toxicity_edges(spark, make_docs):
@@ -78,3 +78,41 @@ def test_later_links_use_earlier_ones():
     y = np.stack([a, a], 1).astype(np.float32)
     links, oof, _ = toxicity.fit_chain(rows, y, np.ones(400))
     assert oof.shape == (400, 2) and links[1].before.shape == (1,) and links[1].before[0] > 0
+
+
+def test_copies_share_a_fold_and_chain_equals_its_definition():
+    r = np.random.default_rng(3)
+    rows = [np.array(sorted(r.choice(300, 15, replace=False)), np.uint32) for _ in range(250)]
+    a = np.array([float(5 in x or 9 in x) for x in rows])
+    y = np.stack([np.where(np.arange(250) % 7 == 0, np.nan, a), a], 1).astype(np.float32)
+    links, oof, threshold = toxicity.fit_chain(rows * 2, np.concatenate([y, y]), np.ones(500))
+    assert np.allclose(oof[:250], oof[250:]) and 0.1 <= threshold <= 0.95
+    # scoring sums the very weights that were fitted
+    found = toxicity.Chain(links, threshold)
+    texts = [" ".join(r.choice(["alpha", "beta", "Beta,", "gamma", "gambit", "gamut", "x1", "-"], 12)) for _ in range(60)] + ["", None, "!!!"]
+    memo = toxicity.Memo(toxicity.word_features)
+    weights = [dict(zip(k.known.tolist(), k.weights.tolist())) for k in links]
+    for k in weights:
+        k |= {h: 0.1 * (i % 9 - 4) for i, h in enumerate(sorted({int(h) for t in texts if t for h in toxicity.features(t, memo)}))}
+    for link, k in zip(links, weights):
+        link.known, link.weights = np.array(list(k), np.uint32), np.array(list(k.values()))
+    found = toxicity.Chain(links, threshold)
+    got = found.scores(texts, toxicity.Memo(found.word))
+    for t, p in zip(texts, got):
+        own = toxicity.features(t, memo).tolist() if t else []
+        want = []
+        for link, k in zip(links, weights):
+            z = link.bias + sum(k.get(h, 0.0) for h in own) + sum(b * q for b, q in zip(link.before, want))
+            want.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(p, want if t else 0)
+
+
+def test_dropping_keeps_columns_of_any_name(make_docs, spark):
+    rows = [(i, "sun moon tree" + (" you scum" if i % 4 == 0 else "")) for i in range(80)] * 2
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows).withColumn("p_toxic", F.lit("keep")).withColumn("is_toxic", F.lit("clash"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.schema == docs.schema and {(r.p_toxic, r.is_toxic) for r in kept.collect()} == {("keep", "clash")}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i % 4)
+    one = toxicity.score_toxicity(make_docs(rows), labels.drop("quality")).collect()  # a column that is not there
+    assert {r.doc_id for r in one if r.is_toxic} == {i for i in range(0, 80, 4)} and {r.p_quality for r in one} == {0.0}

@@ -2,7 +2,7 @@
 
 N-grams of one to three lower-case characters are hashed into BUCKETS places. Document frequencies come from all texts that may
 be learned from. The weights are trained with follow-the-regularised-leader and elastic-net penalties on a bounded sample
-(about PER_LANG texts of each language, drawn by a hash of the id), and a temperature is fitted on a fifth of it that the weights
+(about PER_LANG texts of each language, drawn by a hash of id and text; equal rows count once), and a temperature is fitted on a fifth of it that the weights
 never saw. Prediction reads every whole text.
 
 A null text, or one without a letter, is `und` with score 0. Rows without id or lang are predicted but not learned from; an
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_col
     langs = sorted(share)
     n_docs, df = document_frequencies(known.select("text"))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = F.lit(False)
     for lang, p in share.items():
         drawn = drawn | ((F.col("lang") == lang) & (draw < p))
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["id", "lang", "at", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = sorted(known.where(drawn).mapInArrow(run, f"id {kind}, lang string, at binary, n binary").collect(), key=lambda r: (r["id"], r["lang"]))
+    sample = known.where(drawn).mapInArrow(run, f"id {kind}, lang string, at binary, n binary").dropDuplicates().collect()  # about per_lang rows for each language
+    sample.sort(key=lambda r: (r["id"], r["lang"], r["at"], r["n"]))
     sample = [r for r in sample if len(r["at"])]
     rows = [(at := np.frombuffer(r["at"], np.int32), tfidf(at, np.frombuffer(r["n"], np.int32), idf)) for r in sample]
     y = np.array([langs.index(r["lang"]) for r in sample])

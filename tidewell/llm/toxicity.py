@@ -1,23 +1,24 @@
-"""Toxicity by a classifier chain.
+"""Toxicity by a classifier chain over the label columns of a table.
 
-The chain predicts categories one after another: insult, contempt, dehumanising, and toxic as a whole. Each link is a linear
-(logistic) model on the presence of words and word beginnings, on beginnings that two or four different words share, and on
-the probabilities of the categories before it. In
-training those are out-of-fold predictions, so that a later link sees earlier ones as good as they will be on new texts.
+The chain predicts the columns one after another, the one that decides last: here quality, then toxic. Each link is a linear
+(logistic) model on the presence of words and word beginnings, on beginnings that two or four different words share, and on the
+probabilities of the columns before it. In training those are out-of-fold predictions, so that a later link sees earlier ones as
+good as they will be on new texts; folds go by a hash of what a text holds, so that copies of a text are in one fold.
 
-`toxic` comes from the table of labels. That table has no finer categories; their training labels are the toxic rows that hold a
-word of a short fixed list, and the models generalise from there. Models are fitted on a bounded sample of labelled documents
-(about PER_CLASS of either class, drawn by a hash of the id, weighted back to their true shares). The decision threshold is
-that with the best F-half score out of fold. Every whole text is scored.
+Models are fitted on a bounded sample of labelled documents (about PER_CLASS of either class of the deciding column, drawn by a
+hash of the id, weighted back to their true shares; of an id with several texts the one with the smallest hash). The decision
+threshold is that with the best F-half score out of fold. Every whole text is scored.
 
-A null or empty text has probability 0 and is not toxic. Rows repeat as they are given. Documents with several or null labels
-count as toxic if any label says so. Without labels of both classes nothing is toxic.
+A null or empty text has probability 0 and is not toxic. Rows repeat as they are given. An id with several labels has the largest
+of each column; where a column other than the deciding one is null, its link does not learn from that row, and rows without the
+deciding label are not learned from. Columns that the labels lack are left out. Without labels of both classes nothing is toxic.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,8 @@ from tidewell.llm.common import Memo
 PER_CLASS, FOLDS, MOST_FEATURES, L1, STEPS = 1500, 5, 2048, 2e-4, 150
 PREFIXES = (3, 4, 6)
 LEVELS = (1, 2, 4)
-
-#: Words that mark a toxic document as of a category, for training labels only.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"),
-    "contempt": ("pathetic", "worthless", "disgusting", "useless", "revolting", "contemptible"),
-    "dehumanising": ("scum", "trash", "vermin", "garbage", "filth", "parasite", "subhuman"),
-}
-LINKS = (*CATEGORIES, "toxic")
+#: Label columns in the order of the chain; the last decides.
+LINKS = ("quality", "toxic")
 
 
 def word_features(raw: str) -> tuple[int, ...]:
@@ -46,9 +41,6 @@ def word_features(raw: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in (word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)))
 
 
-MARKS = {c: frozenset(word_features(w)[0] for w in words) for c, words in CATEGORIES.items()}
-
-
 def at_least(h: int, n: int) -> int:
     """The feature of n or more different words that share a feature."""
     return h if n == 1 else (h * 2654435761 + n * 40503) & 0xFFFFFFFF
@@ -107,17 +99,19 @@ class Link:
 
 
 def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[list[Link], np.ndarray, float]:
-    """(links, out-of-fold probabilities, threshold). y has a column for each link."""
-    fold = np.arange(len(rows)) % FOLDS
+    """(links, out-of-fold probabilities, threshold). y has a column for each link, with nan where a label is unknown."""
+    fold = np.array([zlib.crc32(r.tobytes()) % FOLDS for r in rows])
     out = np.zeros(y.shape)
     links = []
     pick = lambda mask: [r for r, m in zip(rows, mask, strict=True) if m]
     for c in range(y.shape[1]):
+        known = ~np.isnan(y[:, c])
+        fit = lambda mask: Link().fit(pick(mask), out[mask, :c], y[mask, c], weight[mask])  # noqa: B023, E731
         for f in range(FOLDS):
             own = fold == f
-            if own.any() and (~own).any():
-                out[own, c] = Link().fit(pick(~own), out[~own, :c], y[~own, c], weight[~own]).predict(pick(own), out[own, :c])
-        links.append(Link().fit(rows, out[:, :c], y[:, c], weight))
+            if own.any() and (known & ~own).any():
+                out[own, c] = fit(known & ~own).predict(pick(own), out[own, :c])
+        links.append(fit(known))
     best, threshold = -1.0, 0.5
     for t in np.arange(0.1, 0.951, 0.05):
         hit = out[:, -1] >= t
@@ -129,87 +123,133 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tupl
 
 
 class Chain:
-    """Links for scoring: weights by feature hash, summed for each word once and cached."""
+    """Links for scoring. Words are looked up once and cached; the weights of a batch of texts are summed as arrays."""
 
     def __init__(self, links: list[Link], threshold: float):
         self.n, self.threshold = len(links), threshold
         self.bias, self.before = np.array([k.bias for k in links]), [k.before for k in links]
-        self.by_feature: dict[int, np.ndarray] = {}
+        by_feature: dict[int, np.ndarray] = {}
         for c, link in enumerate(links):
             for h, w in zip(link.known.tolist(), link.weights, strict=True):
                 if w:
-                    self.by_feature.setdefault(h, np.zeros(self.n))[c] = w
+                    by_feature.setdefault(h, np.zeros(self.n))[c] = w
+        self.by_feature = by_feature
+        self.place: dict[int, int] = {}  # of features with weight at some level
+        self.weights = np.zeros((0, len(LEVELS), self.n))
+
+    def _place(self, h: int) -> int:
+        """The row of a feature in the table of weights, or -1 if it has none."""
+        if (at := self.place.get(h)) is None:
+            own = [self.by_feature.get(at_least(h, n)) for n in LEVELS]
+            at = -1
+            if any(w is not None for w in own):
+                at = len(self.weights)
+                self.weights = np.append(self.weights, [[np.zeros(self.n) if w is None else w for w in own]], 0)
+                self.place[h] = at  # as many as there are features with weight
+        return at
 
     def word(self, raw: str) -> tuple[int, ...]:
-        """The word, and those of its features that have weight at some level; nothing if none has."""
+        """The word's hash, and the places of those of its features that have weight at some level; nothing if none has."""
         own = word_features(raw)
-        heavy = tuple(h for h in own if any(at_least(h, n) in self.by_feature for n in LEVELS))
+        heavy = tuple(at for h in own if (at := self._place(h)) >= 0)
         return (own[0], *heavy) if heavy else ()
 
-    def score(self, text: str, memo: Memo) -> np.ndarray:
-        counts: dict[int, int] = {}
-        for own in {memo[raw] for raw in set(text.split())}:
-            for h in own[1:]:
-                counts[h] = counts.get(h, 0) + 1
-        z = self.bias.copy()
-        for h, c in sorted(counts.items()):
-            for n in LEVELS:
-                if c >= n and (w := self.by_feature.get(at_least(h, n))) is not None:
-                    z += w
-        p = np.zeros(self.n)
+    def scores(self, texts: list[str | None], memo: Memo) -> np.ndarray:
+        """A row of probabilities for each text; zeros for those without any character."""
+        sizes, found = [], []
+        for text in texts:
+            own = list(chain.from_iterable(w[1:] for w in set(map(memo.__getitem__, set(text.split()))))) if text else []
+            sizes.append(len(own))
+            found.append(own)
+        z = np.tile(self.bias, (len(texts), 1))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))
+        if len(flat):
+            width = len(self.weights)
+            pairs, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * width + flat, return_counts=True)
+            at, feature = pairs // width, pairs % width
+            for i, n in enumerate(LEVELS):
+                enough = count >= n
+                for c in range(self.n):
+                    z[:, c] += np.bincount(at[enough], self.weights[feature[enough], i, c], len(texts))
+        p = np.zeros((len(texts), self.n))
         for c in range(self.n):
-            p[c] = 1 / (1 + np.exp(-min(35, max(-35, z[c] + self.before[c] @ p[:c]))))
-        return p
+            p[:, c] = sigmoid(z[:, c] + p[:, :c] @ self.before[c])
+        return np.where(np.array([bool(t) for t in texts], bool)[:, None], p, 0.0) if texts else p
+
+    def score(self, text: str | None, memo: Memo) -> np.ndarray:
+        return self.scores([text], memo)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Chain | None:
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: tuple[str, ...] = LINKS, per_class: int = PER_CLASS) -> Chain | None:
+    links = tuple(c for c in links if c in labels.columns)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(links[-1]).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("float").alias(f"y{i}") for i, c in enumerate(links)))
+    y_last = F.col(f"y{len(links) - 1}")
+    n = {r["y"]: r["n"] for r in known.groupBy((y_last > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}  # two rows
     if not n.get(0) or not n.get(1):
         return None
     share = {y: min(1.0, per_class / n[y]) for y in (0, 1)}
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.when(y_last > 0, share[1]).otherwise(share[0]))
+    names = [f"y{i}" for i in range(len(links))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_features)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "y", "f"])
+            found = pa.array([features(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], names=["id", *names, "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, f binary").collect()  # about 2 * per_class rows
-    rows = sorted((r for r in rows if len(r["f"])), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["f"]))
-    if len({r["y"] for r in rows}) < 2:
+    read = texts.join(F.broadcast(drawn), "id").select("id", "text", *names).mapInArrow(run, f"id {kind}, {', '.join(f'{y} float' for y in names)}, f binary")
+    # about 2 * per_class rows, one for each drawn id
+    rows = read.groupBy("id").agg(F.min(F.struct(F.xxhash64("f").alias("h"), "f", *names)).alias("r")).select("id", "r.*").collect()
+    rows = sorted((r for r in rows if len(r["f"])), key=lambda r: (r["h"], r["f"], str(r["id"])))
+    y = np.array([[np.nan if r[c] is None else float(r[c] > 0) for c in names] for r in rows], np.float32).reshape(-1, len(links))
+    if len(set(y[:, -1].tolist())) < 2:
         return None
+    useful = [c for c in range(len(links)) if len(set(y[~np.isnan(y[:, c]), c].tolist())) == 2]  # a column with one value predicts nothing
     x = [np.frombuffer(r["f"], np.uint32) for r in rows]
-    toxic = np.array([r["y"] for r in rows], np.float32)
-    y = np.stack([*(toxic * [not MARKS[c].isdisjoint(v.tolist()) for v in x] for c in CATEGORIES), toxic], 1).astype(np.float32)
-    weight = np.array([1 / share[r["y"]] for r in rows])
-    links, _, threshold = fit_chain(x, y, weight)
-    return Chain(links, threshold)
+    weight = np.array([1 / share[int(v)] for v in y[:, -1]])
+    fitted, _, threshold = fit_chain(x, y[:, useful], weight)
+    found = Chain(fitted, threshold)
+    found.links = [links[c] for c in useful]
+    return found
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with p_insult, p_contempt, p_dehumanising, p_toxic and is_toxic; all other columns stay."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: tuple[str, ...] = LINKS) -> DataFrame:
+    """docs with p_<link> for each link of the chain (0 for one that could not be fitted) and is_<last link>; all other columns stay, but those of these names."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))  # at most MOST_FEATURES weights for each link
-    new = [*(f"p_{k}" for k in LINKS), "is_toxic"]
+    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, links))  # at most MOST_FEATURES weights for each link
+    new = [*(f"p_{k}" for k in links), f"is_{links[-1]}"]
     own = [c for c in docs.columns if c not in new]
     text_at = own.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = shared.value
-        memo = Memo(chain.word) if chain else None
+        found = shared.value
+        memo = Memo(found.word) if found else None
         for batch in batches:
-            p = np.array([chain.score(t, memo) if t and chain else np.zeros(len(LINKS)) for t in batch.column(text_at).to_pylist()]).reshape(-1, len(LINKS))
-            flag = p[:, -1] >= chain.threshold if chain else np.zeros(len(p), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(len(LINKS))), pa.array(flag)], names=[*own, *new])
+            p = np.zeros((batch.num_rows, len(links)))
+            flag = np.zeros(batch.num_rows, bool)
+            if found:
+                p[:, [links.index(c) for c in found.links]] = found.scores(batch.column(text_at).to_pylist(), memo)
+                flag = p[:, -1] >= found.threshold
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(len(links))), pa.array(flag)], names=[*own, *new])
 
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
     source = docs.select(*(F.col(f"`{c}`") for c in own))
-    return source.mapInArrow(run, StructType([*source.schema.fields, *(StructField(c, DoubleType()) for c in new[:-1]), StructField("is_toxic", BooleanType())]))
+    return source.mapInArrow(run, StructType([*source.schema.fields, *(StructField(c, DoubleType()) for c in new[:-1]), StructField(new[-1], BooleanType())]))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return score_toxicity(docs, labels, id_col, text_col).where("not is_toxic").select(*(F.col(f"`{c}`") for c in docs.columns))
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: tuple[str, ...] = LINKS) -> DataFrame:
+    """docs without the rows that the chain rejects; all columns stay as they are, whatever they are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, links))
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        memo = Memo(found.word) if found else None
+        for batch in batches:
+            keep = found.scores(batch.column(text_at).to_pylist(), memo)[:, -1] < found.threshold if found else np.ones(batch.num_rows, bool)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
