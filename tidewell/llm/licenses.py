@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
-Around licence cues a candidate block is compressed by itself and with each template as a raw zstandard dictionary; templates
-are ranked by how many bytes theirs saves. Going down the ranking, a template is confirmed if the block holds a passage that
+Around licence cues a candidate block (the cue's line, or as much of it as the longest template needs on either side) is compressed
+by itself and with each template as a raw zstandard dictionary; templates are ranked by how many bytes theirs saves. Going down the
+ranking through all that save any, a template is confirmed if the block holds a passage that
 differs from it by at most a fifth of its words, and in none of its deciding words (numbers, names and conditions); the
 differing words are reported. Confirmed passages of a document do not overlap: the better ranked one stays.
 
-Null and empty texts hold no licence. Rows repeat as they are given, with their (perhaps null) id. Every cue of a text is looked at.
+Null and empty texts hold no licence. Rows repeat as they are given, with their (perhaps null) id. Every cue of a text is looked at,
+however long its line. Of passages that overlap with equal savings the first in the text stays.
 """
 
 from __future__ import annotations
@@ -28,10 +30,19 @@ TEMPLATES = {
         "Released under the MIT License.",
         "SPDX-License-Identifier: MIT",
         "This project is licensed under the terms of the MIT license.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ),
-    "ISC": ("SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    "ISC": (
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    "BSD-2-Clause": (
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     "BSD-3-Clause": (
         "SPDX-License-Identifier: BSD-3-Clause",
         "Released under the BSD 3-Clause License.",
@@ -45,9 +56,9 @@ TEMPLATES = {
     ),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "LGPL-2.1": ("SPDX-License-Identifier: LGPL-2.1-only", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
-    "LGPL-3.0": ("SPDX-License-Identifier: LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    "AGPL-3.0": ("SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
+    "LGPL-2.1": ("SPDX-License-Identifier: LGPL-2.1-only", "This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "LGPL-3.0": ("SPDX-License-Identifier: LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "AGPL-3.0": ("SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "EPL-2.0": ("SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -57,16 +68,24 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "CC0-1.0": ("SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    "Unlicense": ("SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."),
-    "BSL-1.0": ("SPDX-License-Identifier: BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
-    "Zlib": ("SPDX-License-Identifier: Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    "Unlicense": (
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "BSL-1.0": (
+        "SPDX-License-Identifier: BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.',
+    ),
+    "Zlib": ("SPDX-License-Identifier: Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."),
     "Proprietary": ("All rights reserved. No part of this work may be reproduced without permission.",),
 }
 #: Words that mark a candidate, in lower case.
-CUES = ("licen", "copyright", "spdx-", "creative commons", "public domain", "permission", "warrant", "redistribut", "all rights reserved", "free software")
+CUES = ("licen", "copyright", "spdx-", "creative commons", "public domain", "permission", "warrant", "redistribut", "all rights reserved", "free software", "anyone is free", "\"as is\"")
 #: Words in which a passage must agree with its template.
 DECIDING = frozenset("mit isc bsd apache gnu general lesser affero mozilla mpl eclipse epl boost bsl zlib unlicense cc cc0 by nc nd sa attribution noncommercial noderivatives sharealike gpl lgpl agpl not without no only".split())
-LEVEL, MOST_DIFFERENT, TRIED = 9, 0.2, 8
+LEVEL, MOST_DIFFERENT = 9, 0.2
 _WORD = re.compile(r"[^\W_]+")
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 
@@ -92,6 +111,9 @@ class Template:
     def ends(self, own: list[str]) -> list[tuple[int, int]]:
         """(distance, end) of all passages near enough to the template, nearest first: approximate matching of word sequences, bit-parallel."""
         m = len(self.words)
+        there = set(own)
+        if sum(w not in there for w in self.words) > MOST_DIFFERENT * m:
+            return []  # each word that is nowhere costs an edit
         full, top = (1 << m) - 1, 1 << (m - 1)
         pv, mv, dist, most, out = full, 0, m, MOST_DIFFERENT * m, []
         for j, w in enumerate(own):
@@ -159,7 +181,7 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         ranked = sorted(((alone - len(t.packer.compress(raw)), i) for i, t in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
         nearest, more = [], []
-        for rank, (saved, i) in enumerate(ranked[:TRIED] + [r for r in ranked[TRIED:] if r[0] > 8]):
+        for rank, (saved, i) in enumerate(ranked):
             if saved > 0:
                 t = self.templates[i]
                 found = [(d, rank, own[a][1], own[b - 1][2], t.name, round(saved / alone, 4), " ".join(w)) for a, b, w, d in t.confirm(only)]
@@ -172,6 +194,12 @@ class Scanner:
                 out.append((start, end, *rest))
         return out
 
+    def near(self, text: str, lo: int, hi: int, cue: int) -> list[tuple]:
+        """Passages of the block text[lo:hi]; what it may have cut off is left to its own cue."""
+        least = 2 * self.reach * (lo > 0 and text[lo - 1] != "\n")
+        most = hi - lo - 2 * self.reach * (hi < len(text) and text[hi] != "\n")
+        return [f for f in self.memo[text[lo:hi]] if least <= f[0] and f[1] <= most or f[0] <= cue - lo < f[1]]
+
     def scan(self, text: str) -> list[tuple]:
         if next(self.cues.iter(text.lower()), None) is None:
             return []
@@ -180,21 +208,13 @@ class Scanner:
         for m in _CUE.finditer(text):
             if m.start() < seen:
                 continue
-            # the line with the cue, and then as many words around it as the longest template has
-            lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            hi = len(text) if hi < 0 else hi
-            own = self.memo[text[lo:hi]] if hi - lo <= 4000 else []
-            at = lo
-            if not own or any(b - a > 400 for a, b, *_ in own):
-                at = max(0, m.start() - 8 * self.reach)
-                to = min(len(text), m.end() + 8 * self.reach)
-                # what the window may have cut off is left to its own cue
-                least, most = 2 * self.reach * (at > 0), to - at - 2 * self.reach * (to < len(text))
-                wide = [f for f in self.memo[text[at:to]] if least <= f[0] and f[1] <= most or f[0] <= m.start() - at < f[1]]
-                if wide:
-                    own = wide
-                else:
-                    at = lo
+            # as many words around the cue as the longest template has: first of its line alone, and then of what is around it
+            first, end = max(0, m.start() - 8 * self.reach), min(len(text), m.end() + 8 * self.reach)
+            lo, hi = text.rfind("\n", first, m.start()) + 1 or first, text.find("\n", m.end(), end)
+            hi = end if hi < 0 else hi
+            at, own = lo, self.near(text, lo, hi, m.start())
+            if (not own or any(b - a > 400 for a, b, *_ in own)) and (wide := self.near(text, first, end, m.start())):
+                at, own = first, wide
             for a, b, *rest in own:
                 found.setdefault((at + a, at + b), (at + a, at + b, *rest))
                 if at + a <= m.start() < at + b:
