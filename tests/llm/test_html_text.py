@@ -67,3 +67,64 @@ def test_what_a_few_pages_of_a_host_share_stays(spark):
     assert all(got[100 + i].text == f"T {i} A passage and a list own {i}" and not got[100 + i].n_deleted for i in range(8))
     assert all(got[200 + i].text == f"T {i} own {i}" and got[200 + i].n_deleted == 1 for i in range(8))
     assert all("A passage" not in got[300 + i].text for i in range(40))
+
+
+def test_deep_markup_takes_time_in_proportion():
+    import time
+
+    for source in ("<div>" * 100_000 + "x" + "</p>" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<div class=ad>" * 50_000 + "x", "<article>" * 30_000 + "x", "<ul><li>x" * 30_000, "<table><tr><td>" * 20_000 + "x"):
+        H.read_page("<p>warm")
+        start = time.process_time()
+        H.read_page(source)
+        assert time.process_time() - start < 4, source[:20]  # a square of it would take minutes
+
+
+def test_what_is_no_markup_stays():
+    assert one("<article><p>a <math><mi>x</mi><mo>+</mo></math> b</p><svg><text>label</text></svg><object>fallback</object><template>t</template></article>") == "a x+ b labelfallbackt"
+
+
+def test_ties_of_articles():
+    assert one("<article>one</article><article>two</article>") == "one"
+    assert one("<article><article>in</article></article>") == "in"
+
+
+def test_site_furniture_goes_by_count(spark, monkeypatch):
+    """Without any word of class names, what recurs on a host's pages goes; what is on too few pages is left to the tags."""
+    for name in ("NOISE_WORDS", "NOISE_TAGS", "NOISE_NAMES", "NOISE_ROLES"):
+        monkeypatch.setattr(H, name, frozenset())
+    furniture = "<nav><ul><li><a href=/x>Home</a><li><a href=/y>All</a></ul></nav><div class=ad>Buy now</div>"
+    rows = [(i, f"http://a.org/{i}", f"{furniture}<div><h1>T {i}</h1><p>own {i}</p></div><footer>by us</footer>") for i in range(9)]
+    rows += [(100 + i, f"http://b.org/{i}", f"{furniture if i < 6 else ''}<article><h1>T {i}</h1><p>own {i}</p></article><footer>by us {i}</footer>") for i in range(30)]
+    got = {r.page_id: r for r in H.main_text(spark.createDataFrame([(*r, "h", "b", 7) for r in rows], PAGES)).collect()}
+    assert all(got[i].text == f"T {i} own {i}" and got[i].n_deleted >= 3 for i in range(9))
+    assert all(got[100 + i].text == f"T {i} own {i}" and (got[100 + i].n_deleted >= 2) == (i < 6) for i in range(30))
+
+
+def brute(rows):
+    """Main texts with templates counted by plain sets."""
+    read = [(H.host(url) or "", *H.read_page(source or "")) for _, url, source in rows]
+    apart, contents, at = {}, {}, {}
+    for site, blocks, trees, content in read:
+        contents.setdefault(site, set()).add(content)
+        for h, lo, hi, other, outside in trees:
+            apart.setdefault((site, h, outside), set()).add(other)
+            at.setdefault((site, h, outside), set()).add((other, content))
+    out = {}
+    for (i, _, _), (site, blocks, trees, _) in zip(rows, read, strict=True):
+        inside = {h for h, *_ in trees if len(apart.get((site, h, False), ())) >= 5 and len(at[site, h, False]) >= 0.5 * len(contents[site])}
+        dead = [(lo, hi) for h, lo, hi, _, outside in trees if h in inside or outside and len(apart[site, h, True]) >= 5]
+        out[i] = (" ".join(b for k, b in enumerate(blocks) if not any(lo <= k < hi for lo, hi in dead)), len(dead))
+    return out
+
+
+def test_deletions_are_those_of_brute_force(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.where("url like '%ion%.example.%'").collect()]
+    # the same pages without the mark of their article, so that the rest is told by count and class alone
+    rows += [(10_000 + i, u, h.replace("article", "div")) for i, u, h in rows]
+    frame = spark.createDataFrame([(*r, "h", "b", 7) for r in rows], PAGES)
+    want = brute(rows)
+    got = {r.page_id: (r.text, r.n_deleted) for r in H.main_text(frame).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 0
+    monkeypatch.setattr(H, "MOST_BROADCAST", -1)
+    assert {r.page_id: (r.text, r.n_deleted) for r in H.main_text(frame).collect()} == want
