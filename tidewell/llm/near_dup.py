@@ -7,7 +7,9 @@ the words within a band leaves at least 0.8 of their k-mers in common: M / (n1 +
 
 Equal texts are one node from the start. In each bucket only pairs with two leaders are aligned, whatever its size; buckets
 that then still hold several classes are taken apart exactly: by prefixes of their labelled k-mers, rarest first, of which two
-texts with that similarity must share one, and by signatures that bound how far two texts differ. Classes are connected components of the verified links. No step collects a group.
+texts with that similarity must share one, and by signatures that bound how far two texts differ. A pair that shares several such
+k-mers leaves the join at the first of them only. Classes are connected components of the verified links. No step collects a group;
+tables of leaders are written before they are joined, so that the adaptive planner can split the rows of a hot bucket.
 
 Null texts count as empty; equal texts (empty ones too) are one class. Texts of fewer than five words match equal texts only.
 Rows without id take no part (near_duplicates leaves them out, drop_near_duplicates keeps them). Rows that share an id are one
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import Memo, cut
+from tidewell.llm.common import Memo, cut, small
 from tidewell.llm.decontaminate import token_hash, tokens
 
 K, N_SKETCHES, PER_SKETCH, SIMILARITY = 5, 18, 3, 0.8
@@ -33,6 +35,12 @@ SMALL_GROUP, LEADERS = 32, (3, 4, 5)
 #: texts has flips one bit, so that the bits in which they differ never exceed the k-mers in which they do.
 SIGNATURE = 16
 MARKS = [f"m{i}" for i in range(SIGNATURE)]
+#: Each k-mer of a prefix carries so many that come before it. A pair that shares one of those has met there already; a pair whose
+#: earlier common k-mers all lie further back meets again, which costs a row and changes nothing.
+LOOK_BACK = 8
+BEFORE = [f"p{i}" for i in range(LOOK_BACK)]
+#: Words whose hashes a task keeps.
+MOST_WORDS = 100_000
 _A = np.array([(0xD1342543DE82EF95 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(64)], np.uint64)
 
 
@@ -154,8 +162,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sketched(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(token_hash)
-        for batch in batches:
+        memo = Memo(token_hash, MOST_WORDS)
+        for batch in small(batches):
             n, found, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 toks = tokens(text, memo)
@@ -170,8 +178,8 @@ def _sketched(rows: DataFrame) -> DataFrame:
 
 def _sequences(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(token_hash)
-        for batch in batches:
+        memo = Memo(token_hash, MOST_WORDS)
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokens(t, memo).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "seq"])
 
     return rows.select("id", "text").mapInArrow(run, "id long, seq binary")
@@ -185,7 +193,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([similar(_as_tokens(x.as_py()), _as_tokens(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())).select(["a", "b"])
 
     both = pairs.join(sequences.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b").join(sequences.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
@@ -193,30 +201,53 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): each linked node with the smallest id of its component. Labels spread along links and along labels, so that rounds grow with the logarithm of a path."""
-    both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct(), "links")
-    labels = cut(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("label")), "labels")
+    """(id, label): each linked node with the smallest id of its component.
+
+    In each round every node takes the neighbour, or itself, with most links (ties by hash), and the links then run between what
+    was taken. A star is one node after a round, and of a path a fixed share is left, so that links shrink geometrically.
+    """
+    edges = cut(links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to"))).where("id <> to").distinct(), "links")
+    steps = []
     while True:
-        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        # the label of the label, if it has one
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "new", "left").select("id", F.col("label").alias("old"), F.least("new", "far").alias("label")), "labels")
-        if not new.where("label <> old").limit(1).count():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        degrees = cut(edges.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
+        order = lambda node: F.struct((-F.col("degree")).alias("d"), F.xxhash64(node).alias("h"), F.col(node).alias("node"))
+        nearest = edges.join(degrees.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min(order("to")).alias("nearest"))
+        steps.append(cut(degrees.join(nearest, "id").select("id", F.least(order("id"), "nearest")["node"].alias("label")), "labels"))
+        taken = lambda end: steps[-1].select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        edges = cut(edges.join(taken("id"), "id").join(taken("to"), "to").select(F.col("id_label").alias("id"), F.col("to_label").alias("to")).where("id <> to").distinct(), "links")
+        if not edges.limit(1).count():
+            break
+    labels = steps.pop()
+    while steps:
+        labels = cut(steps.pop().join(labels.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.coalesce("far", "label").alias("label")), "labels")
+    least = cut(labels.groupBy("label").agg(F.min("id").alias("least")), "least")
+    return cut(labels.join(least, "label").select("id", F.col("least").alias("label")), "labels")
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels of a graph after more links: only those between different components are followed."""
+    own = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
+    more = components(cut(between, "between"))
+    old = labels.join(more.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.coalesce("far", "label").alias("label"))
+    return cut(old.unionByName(more.join(labels, "id", "left_anti").select("id", "label")), "labels")
 
 
 def _salted(salt: int) -> Column:
     return F.xxhash64("id", F.lit(salt))
 
 
-def _led(members: DataFrame, group: str, leads: list[Column]) -> DataFrame:
-    """Pairs (a < b) of each member with the leaders of its group; leaders are the members with the smallest or greatest salted hashes, found by partial sums."""
+def _leaders(members: DataFrame, group: str, leads: list[Column]) -> DataFrame:
+    """(group, leads, size) of groups of several members; leaders are the members with the smallest or greatest salted hashes, found by partial sums."""
     names = [f"l{i}" for i in range(len(leads))]
-    leaders = members.groupBy(group).agg(*(c.alias(n) for c, n in zip(leads, names, strict=True)), F.count("*").alias("size")).where("size > 1")
-    pairs = members.join(leaders, group).select("id", F.explode(F.array(*names)).alias("lead"))
-    return pairs.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    found = members.groupBy(group).agg(*(c.alias(n) for c, n in zip(leads, names, strict=True)), F.count("*").alias("size")).where("size > 1")
+    return cut(found.select(group, F.array(*names).alias("leads"), "size"), "leaders")
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each member with the leaders of its group."""
+    pairs = members.select("id", F.explode("leads").alias("lead")).where("id <> lead")
+    return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
 def _sides(sizes: DataFrame, side: str, *more: str) -> DataFrame:
@@ -240,12 +271,12 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _divided(members: DataFrame, group: str) -> DataFrame:
     """Members (with label) of groups that hold several classes."""
-    mixed = members.groupBy(group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(group)
+    mixed = cut(members.groupBy(group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(group), "mixed")
     return members.join(mixed, group, "left_semi")
 
 
 def _prefixes(ids: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(id, kmer, df, rank): of the labelled k-mers of each text, rarest among these texts first, as many as a similar text must share one of, without those of one text only."""
+    """(id, kmer, df, rank, *BEFORE): of the labelled k-mers of each text, rarest among these texts first, as many as a similar text must share one of, without those of one text only, and before each the LOOK_BACK that come before it (null at the start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,60 +288,63 @@ def _prefixes(ids: DataFrame, sequences: DataFrame) -> DataFrame:
 
     rows = cut(sequences.join(ids, "id", "left_semi").mapInArrow(run, "id long, n int, kmer long"), "kmers")
     df = rows.groupBy("kmer").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer"))
-    return rows.join(df, "kmer").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(SIMILARITY * F.col("n")) + 1).where("df > 1").select("id", "kmer", "df", "rank")
+    order = Window.partitionBy("id").orderBy("df", "kmer")
+    ranked = rows.join(df, "kmer").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(SIMILARITY * F.col("n")) + 1).where("df > 1")
+    return ranked.select("id", "kmer", "df", "rank", *(F.lag("kmer", i + 1).over(order).alias(p) for i, p in enumerate(BEFORE)))
 
 
-def links_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(verified links (a, b) between texts, rows (id, key), nodes (key, node)): a node is the smallest id of equal texts."""
+def labels_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels (id, label) of linked texts, rows (id, key), nodes (key, node)): a node is the smallest id of equal texts."""
     scan = _scan(docs, id_col, text_col)
     rows = cut(_sketched(scan), "sketches")
     texts = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("omh").alias("omh"), *(F.any_value(m).alias(m) for m in MARKS)), "texts")
     sizes = texts.select("id", "n", *MARKS)
-    buckets = cut(texts.select("id", F.explode("omh").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(buckets.join(shared, "bucket"), "members")
-    pairs = cut(_plausible(_led(members, "bucket", [F.min_by("id", _salted(1)), F.max_by("id", _salted(1))]), sizes), "pairs")
+    buckets = texts.select("id", F.explode("omh").alias("bucket"))
+    members = cut(buckets.join(_leaders(buckets, "bucket", [F.min_by("id", _salted(1)), F.max_by("id", _salted(1))]), "bucket"), "members")
+    pairs = cut(_plausible(_led(members), sizes), "pairs")
     wanted = members.select("id").distinct()
     sequences = cut(_sequences(scan.join(texts.join(wanted, "id", "left_semi").select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])), "sequences")
     links = cut(_verified(pairs, sequences), "verified")
     labels = components(links)
-    rest = _divided(_relabelled(members.where("size > 3"), labels), "bucket").select("id").distinct()  # two leaders, which always differ, meet all pairs of three
+    rest = _divided(_relabelled(members.where("size > 3").select("id", "bucket"), labels), "bucket").select("id").distinct()  # two leaders, which always differ, meet all pairs of three
     rest = cut(rest, "rest")
     if rest.limit(1).count():
         found = cut(_prefixes(rest, sequences), "prefixes")
         large = _divided(_relabelled(found.where(F.col("df") > SMALL_GROUP), labels), "kmer")
-        more = cut(_verified(_plausible(_led(large, "kmer", [F.min_by("id", _salted(s)) for s in LEADERS]), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
+        leaders = _leaders(large, "kmer", [F.min_by("id", _salted(s)) for s in LEADERS])
+        more = cut(_verified(_plausible(_led(large.join(leaders, "kmer")), sizes).join(links, ["a", "b"], "left_anti"), sequences), "verified")
         if more.limit(1).count():
-            links = cut(links.unionByName(more), "verified")
-            labels = components(links)
+            labels = extended(labels, more)
         # what is left meets within its groups; pairs that can't be similar are told by their signatures and never leave the join
         open_groups = cut(_divided(_relabelled(found, labels), "kmer").join(sizes, "id"), "open")
-        left, right = (_sides(open_groups, c, "kmer", F.col("label").alias(f"label_{c}"), F.col("rank").alias(f"rank_{c}")) for c in "ab")
+        left, right = (_sides(open_groups, c, "kmer", F.col("label").alias(f"label_{c}"), F.col("rank").alias(f"rank_{c}"), *(F.col(p).alias(f"{p}_{c}") for p in BEFORE)) for c in "ab")
         in_order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
         # of two similar texts the shorter has a common k-mer in a still shorter prefix, and enough k-mers follow it in both
         short = F.col("rank_a") <= F.col("n_a") - F.ceil(2 * SIMILARITY / (1 + SIMILARITY) * F.col("n_a") - 1e-9) + 1
         follow = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
-        met = left.join(right, (left["kmer"] == right["kmer"]) & in_order & (F.col("label_a") != F.col("label_b")) & short & follow & _may_be_similar())
+        # an earlier k-mer that both have fulfils all of this as well: there the pair has met
+        first = ~F.coalesce(F.arrays_overlap(*(F.array(*(f"{p}_{c}" for p in BEFORE)) for c in "ab")), F.lit(False))
+        met = left.join(right, (left["kmer"] == right["kmer"]) & in_order & (F.col("label_a") != F.col("label_b")) & short & follow & _may_be_similar() & first)
         last = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(cut(_verified(last, sequences), "verified"))
-    return links.distinct(), rows.select("id", "key"), texts.select("key", F.col("id").alias("node"))
+        labels = extended(labels, cut(_verified(last, sequences), "verified"))
+    return labels, rows.select("id", "key"), texts.select("key", F.col("id").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: id, class_id (the smallest id of its class), is_kept (whether it is that one)."""
-    links, rows, nodes = links_and_nodes(docs, id_col, text_col)
+    labels, rows, nodes = labels_and_nodes(docs, id_col, text_col)
     by_row = rows.join(nodes, "key").select("id", "node").distinct()
     # an id with several texts links their nodes
-    links = links.unionByName(by_row.where("id <> node").join(by_row.groupBy("id").agg(F.count("*").alias("c")).where("c > 1"), "id").select(F.col("node").alias("a"), F.col("id").alias("b")))
-    labels = components(links)
+    several = cut(by_row.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1"), "several")
+    if several.limit(1).count():
+        labels = extended(labels, by_row.join(several, "id").select("a", F.col("node").alias("b")))
     out = by_row.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that with the smallest id. Rows without id stay. All columns stay."""
+    """docs with one row of each class: that with the smallest id. Rows without id stay. All columns stay, whatever they are called."""
     names = docs.columns
-    kept = near_duplicates(docs, id_col, text_col).where("is_kept").select(F.col(id_col).alias("__kept"))
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.select(*names).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col, text_col).where("is_kept").select(id_col)
+    one = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return one.select(*(F.col(f"`{n}`") for n in names)).unionByName(docs.where(F.col(id_col).isNull()))
