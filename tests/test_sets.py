@@ -99,3 +99,16 @@ def test_metrics_against_plain_code(spark):
     assert 0.05 < t < 20
     a, b = metrics.fit_platt(df.withColumn("m", F.col("p") * 4 - 2), "m", "y")
     assert a > 0
+
+
+def test_samplers_lose_nothing(spark):
+    same = spark.range(20_000).select(F.lit(7).alias("key"), (F.col("id") % 2).alias("cell"))
+    assert sampling.per_cell(same, ["cell"], "key", 5).groupBy("cell").count().where("count = 5").count() == 2  # rows that share a key
+    nulls = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "a").alias("s"))
+    assert sampling.per_cell(nulls, ["s"], "id", 10).groupBy("s").count().where("count = 10").count() == 2
+    split = sampling.stratified_split(nulls, "s", "id", {"train": 0.7, "test": 0.3})
+    got = {(r.s, r.split): r["count"] for r in split.groupBy("s", "split").count().collect()}
+    assert sum(got.values()) == 100 and got[None, "train"] == got["a", "train"] == 35 and split.columns == ["id", "s", "split"]
+    masked = sampling.mask_words(spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "x"), (5, " ")], "k int, t string"), "k", "t", 2)
+    out = {r.k: r.t for r in masked.collect()}
+    assert out[2] is None and out[3] == "" and out[4] == "[MASK]" and out[5] == " " and out[1].count("[MASK]") == 2 and len(out) == 5

@@ -71,3 +71,34 @@ def test_keywords(spark):
     p = "(?U)" + T.keyword_pattern(["work*", "night shift"])
     df = spark.createDataFrame([("Working hard",), ("night\n shift",), ("homework",), ("nights",)], "t string")
     assert [r[0] for r in df.select(F.col("t").rlike(p)).collect()] == [True, True, False, False]
+
+
+def test_both_ways_of_cleaning_agree(spark):
+    """Built-in steps against the same steps in Python, on whole texts and pages."""
+    for name, col in (("documents", "text"), ("pages", "html")):
+        df = spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").select(col, T.clean_text(F.col(col)).alias("a"), T.clean_text(F.col(col), decode=False).alias("b"))
+        for r in df.collect():
+            assert r.a == T.clean_one(r[col])
+            assert r.b == r.a or "&" in r[col]
+
+
+def test_edits_are_counted_where_they_are_applied(spark):
+    df = spark.createDataFrame([("[a](http://x.org) http://y.org &amp;lt; me@x.org **b** u/someone",), (None,), ("plain",)], "t string")
+    got = [r.e.asDict() for r in df.select(T.edit_counts("t").alias("e")).collect()]
+    assert {k: v for k, v in got[0].items() if v} == {"html_unescape": 2, "md_link": 1, "md_strong": 1, "email_removed": 1, "url": 1, "mention": 1, "url_placeholder": 2}  # a second pass sees the placeholders
+    assert not any(got[1].values()) and not any(got[2].values())
+
+
+def test_privacy_gate(spark):
+    quality.check_records(spark.createDataFrame([("see <URL> and <USER>",)], "text_clean string"))
+    for bad in ("see https://a.org/x", "me@x.org", "by u/someone", "www.x.com"):
+        with pytest.raises(ValueError):
+            quality.check_records(spark.createDataFrame([(bad,)], "text_clean string"))
+
+
+def test_long_texts_are_chunked_in_proportion():
+    import time
+
+    start = time.process_time()
+    spans = segment.chunk_spans("One two three four. " * 20_000, 64, 16)
+    assert len(spans) > 1000 and time.process_time() - start < 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions.text import dedupe_key, shingles
+from tidewell.sources.scratch import written
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -65,7 +66,8 @@ def pooled_containment(queries: DataFrame, corpus: DataFrame, query_id: str, n:
 
 def _shingle_sets(df: DataFrame, id_col: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(texts with their shingles: id, s, k; the first id of each shingle set: k, id). k tells equal sets."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col("text"), n)).alias("s")).where(F.size("s") > 0).withColumn("k", F.sha2(F.array_join("s", "\n"), 256))
+    own = F.array_sort(F.transform(shingles(F.col("text"), n), lambda g: F.xxhash64(g)))  # two shingles of one hash count as one
+    sets = written(df.select(F.col(id_col).alias("id"), own.alias("s")).where(F.size("s") > 0).withColumn("k", F.sha2(F.array_join(F.transform("s", lambda h: h.cast("string")), ","), 256)), "shingles")
     return sets, sets.groupBy("k").agg(F.min("id").alias("id"))
 
 
@@ -81,12 +83,14 @@ def _similar_sets(sets: DataFrame, first: DataFrame, threshold: float) -> DataFr
     joined for those texts only that hold little else.
     """
     reps = sets.join(first, ["k", "id"], "left_semi").dropDuplicates(["k"]).withColumn("n", F.size("s"))
-    long = reps.select("id", "n", F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))  # two shingles of one hash make a candidate too many, no more
+    long = reps.select("id", "n", F.explode("s").alias("g"))
     df_ = long.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
     prefix = long.join(df_, "g").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1))
-    a, b = (prefix.select("g", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    cand = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    a, b = (prefix.select("g", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("r").alias(f"r_{c}")) for c in "ab")
+    # what follows the common shingle in both texts must still reach the similarity
+    follow = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    cand = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & follow).select("a", "b").distinct()
     own = lambda c: reps.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     t = cand.join(own("a"), "a").join(own("b"), "b").withColumn("jaccard", both / (F.size("s_a") + F.size("s_b") - both))
@@ -109,16 +113,13 @@ def greedy_near_duplicates(df: DataFrame, id_col: str, n: int = 5, threshold: fl
     Of equal shingle sets at most the first text stays: a copy is similar to it, or to the kept text for which it went. Rounds therefore
     run over sets. They settle all sets without an unsettled earlier neighbour at once; the number of rounds is the length of the longest chain.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewell-shared")
     sets, first = _shingle_sets(df, id_col, n)
-    pairs = _similar_sets(sets, first, threshold).select("a", "b").checkpoint()
+    pairs = written(_similar_sets(sets, first, threshold).select("a", "b"), "pairs")
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("state", F.lit(0))  # 1 stays, 2 goes
     while True:
         before = pairs.join(state.select(F.col("id").alias("a"), "state"), "a").groupBy("b").agg(F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("kept"), F.max(F.when(F.col("state") == 0, 1).otherwise(0)).alias("open"))
         new = F.when(F.col("state") != 0, F.col("state")).when(F.coalesce("kept", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = state.join(before.withColumnRenamed("b", "id"), "id", "left").select("id", new.alias("state")).checkpoint()
+        state = written(state.join(before.withColumnRenamed("b", "id"), "id", "left").select("id", new.alias("state")), "state")
         if not state.where("state = 0").limit(1).count():
             gone = state.where("state = 2").select("id").unionByName(_copies(sets, first).select(F.col("b").alias("id")))
             return gone.select(F.col("id").alias(id_col)).distinct()

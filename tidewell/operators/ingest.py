@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import text as T
+from tidewell.sources.scratch import written
 
 MAX_CHARS, MIN_LETTERS, MIN_TOKENS = 20_000, 3, 5
 
 
+def clean_input(raw: Column) -> Column:
+    """What is scored of a text: at most MAX_CHARS characters of it, cleaned."""
+    return T.clean_text(F.substring(raw, 1, MAX_CHARS))
+
+
 def input_status(raw: Column, clean: Column, lang: Column | None = None, english_only: bool = True) -> Column:
+    """Why a text is not scored, or ok; clean is what clean_input made of raw."""
     status = F.when(raw.isNull(), "none").when(F.trim(raw) == "", "empty").when(F.trim(clean) == "", "empty_after_cleaning").when(T.letters(clean) < MIN_LETTERS, "no_text")
     if lang is not None and english_only:
         status = status.when(lang != "en", "non_english")
@@ -17,7 +24,7 @@ def input_status(raw: Column, clean: Column, lang: Column | None = None, english
 
 
 def mark_duplicates(df: DataFrame, key: Column, order: list[Column], reason: str = "drop_reason") -> DataFrame:
-    """Marks later copies among the rows that nothing else drops. The first place of each key is found by partial sums and joined back, so that a hot key is no single task's."""
+    """Marks later copies among the rows that nothing else drops. The first place of each key is found by partial sums and joined back, so that a hot key is no single task's. df is read twice: write it first if it is dear."""
     keyed = df.withColumns({"__key": F.when(F.col(reason).isNull(), key), "__at": F.struct(*order)})
     first = keyed.where("__key is not null").groupBy("__key").agg(F.min("__at").alias("__first"))
     copy = F.col("__first").isNotNull() & (F.col("__at") != F.col("__first"))
@@ -26,10 +33,9 @@ def mark_duplicates(df: DataFrame, key: Column, order: list[Column], reason: str
     return spread.join(first, "__key", "left").withColumn(reason, F.when(copy, "duplicate").otherwise(F.col(reason))).drop("__key", "__at", "__first")
 
 
-def clean_and_filter(raw: DataFrame, source: str, order: list[str], lo: str | None = None, hi: str | None = None, min_tokens: int = MIN_TOKENS, decode=T.compose_and_unescape) -> DataFrame:
+def clean_and_filter(raw: DataFrame, source: str, order: list[str], lo: str | None = None, hi: str | None = None, min_tokens: int = MIN_TOKENS, decode: bool = True) -> DataFrame:
     """raw (record_id, community, created_at, text_raw[, lang]) with lake columns and drop_reason: the first that applies, in a fixed order, or null for rows that stay."""
-    clean = T.clean_text(F.col("text_raw"), passes=2, decode=decode)
-    df = raw.withColumn("text_clean", clean)
+    df = raw.withColumn("text_clean", T.clean_text(F.col("text_raw"), decode=decode))
     df = df.withColumns({"n_chars": F.char_length("text_clean"), "n_tokens_est": T.token_estimate(F.col("text_clean")), "source": F.lit(source)})
     at = F.col("created_at")
     reason = F.when(at.isNull(), "no_timestamp")
@@ -38,4 +44,4 @@ def clean_and_filter(raw: DataFrame, source: str, order: list[str], lo: str | No
     reason = reason.when(F.col("text_clean") == "", "empty").when(T.is_bot_text(F.col("text_clean")), "bot").when(F.col("n_tokens_est") < min_tokens, "too_short")
     if "lang" in raw.columns:
         reason = reason.when(F.col("lang") != "en", "non_english")
-    return mark_duplicates(df.withColumn("drop_reason", reason), T.dedupe_key(F.col("text_clean")), [F.col(c) for c in order])
+    return mark_duplicates(written(df.withColumn("drop_reason", reason), "cleaned"), T.dedupe_key(F.col("text_clean")), [F.col(c) for c in order])

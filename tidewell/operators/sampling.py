@@ -19,13 +19,9 @@ def smallest_hashes(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 
 
 def per_cell(df: DataFrame, cell: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
-    """Up to n rows of each cell, those with the smallest hashes. A share of each cell somewhat above n / size goes on to be ranked, so that a hot cell is never ranked whole; cells whose share ran short are taken whole."""
-    hashed = df.withColumn("u", short_hash(F.col(key), str(seed)))
-    sizes = hashed.groupBy(*cell).agg(F.count("*").alias("__n"))
-    wide = F.greatest(F.lit(4.0 * n), F.lit(n + 64.0)) / F.col("__n")
+    """Up to n rows of each cell (null is a cell too), those with the smallest hashes. The planner keeps n rows of a cell in each partition before it deals them out, so that a hot cell is never ranked whole."""
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("u", key))
-    drawn = hashed.join(F.broadcast(sizes) if not cell else sizes, cell).where(F.col("u") < wide)
-    return drawn.withColumn("rank", rank).where(F.col("rank") <= n).drop("__n")
+    return df.withColumn("u", short_hash(F.col(key), str(seed))).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def busiest_day(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
@@ -46,20 +42,20 @@ def group_split(df: DataFrame, group: str, shares: dict[str, float], seed: int =
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Splits of nearly the given shares in each stratum: hashes are cut at their quantiles within it."""
+    """Splits of nearly the given shares in each stratum (null is one too): hashes are cut at their quantiles within it."""
     u = short_hash(F.col(key), str(seed))
     cuts, total = [], 0.0
     for share in list(shares.values())[:-1]:
         total += share
         cuts.append(min(1.0, total))
     hashed = df.withColumn("u", u)
-    q = hashed.groupBy(stratum).agg(F.percentile_approx("u", F.array(*map(F.lit, cuts)), F.lit(100_000)).alias("__q"))
-    t = hashed.join(q, stratum)
+    q = hashed.groupBy(F.col(stratum).alias("__s")).agg(F.percentile_approx("u", F.array(*map(F.lit, cuts)), F.lit(100_000)).alias("__q"))
+    t = hashed.join(q, F.col(stratum).eqNullSafe(F.col("__s")))
     names = list(shares)
     out = F.lit(names[-1])
     for i in range(len(cuts) - 1, -1, -1):
         out = F.when(F.col("u") <= F.col("__q")[i], names[i]).otherwise(out)
-    return t.withColumn("split", out).drop("u", "__q")
+    return t.withColumn("split", out).drop("u", "__q", "__s")
 
 
 def largest_remainder(cells: DataFrame, name: str, size: str, total: int, floor: int = 1) -> DataFrame:
@@ -78,10 +74,11 @@ def largest_remainder(cells: DataFrame, name: str, size: str, total: int, floor:
 
 
 def mask_words(df: DataFrame, key: str, text: str, n: int, token: str = "[MASK]", seed: int = 42, protect: Column | None = None) -> DataFrame:
-    """text with n words, those with the smallest hashes of key and place, replaced by a token."""
-    words = df.select(key, F.posexplode(F.split(F.col(text), " ")).alias("pos", "w"))
+    """text with n words, those with the smallest hashes of key and place, replaced by a token; a null text stays null."""
+    words = df.select(key, F.posexplode_outer(F.split(F.col(text), " ")).alias("pos", "w"))
     u = short_hash(F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")), str(seed))
-    ok = (F.col("w") != "") if protect is None else (F.col("w") != "") & ~protect
+    ok = F.coalesce(F.col("w") != "", F.lit(False)) if protect is None else F.coalesce((F.col("w") != "") & ~protect, F.lit(False))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.when(ok, u).otherwise(2.0), "pos"))
     t = words.withColumn("w", F.when(ok & (rank <= n), token).otherwise(F.col("w")))
-    return t.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias(text))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
+    return t.groupBy(key).agg(F.when(F.max("pos").isNotNull(), whole).alias(text))

@@ -69,7 +69,14 @@ def near_dup_jaccard(spark, sf_dir):
     return rounded(dedupe.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", 5, 0.9))
 
 
-@query("near_dup_greedy")
+# texts are gone through by id: of those with a neighbour, one is kept if no earlier neighbour is
+_GREEDY = f"""WITH RECURSIVE {NEAR}, o AS (SELECT b AS id, list(a) AS earlier FROM near GROUP BY b UNION ALL SELECT a, [] FROM (SELECT DISTINCT a FROM near WHERE a NOT IN (SELECT b FROM near))),
+n AS (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM o), w AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS gone
+    UNION ALL SELECT n.pos, CASE WHEN list_has_any(w.kept, n.earlier) THEN w.kept ELSE list_append(w.kept, n.id) END, CASE WHEN list_has_any(w.kept, n.earlier) THEN n.id END FROM w JOIN n ON n.pos = w.pos + 1)
+SELECT gone AS doc_id FROM w WHERE gone IS NOT NULL"""
+
+
+@query("near_dup_greedy", _GREEDY)
 def near_dup_greedy(spark, sf_dir):
     return dedupe.greedy_near_duplicates(table(spark, sf_dir, "documents"), "doc_id", 5, 0.9)
 
@@ -142,7 +149,10 @@ def group_split(spark, sf_dir):
     return sampling.group_split(table(spark, sf_dir, "events"), "user_id", {"train": 0.7, "validation": 0.15, "test": 0.15}).select("event_id", "split")
 
 
-@query("stratified_split")
+_CUTS = f"WITH h AS (SELECT event_id, event_type, {hash_sql('event_id', '42')} AS u FROM events), q AS (SELECT event_type, quantile_disc(u, 0.7) AS a, quantile_disc(u, 0.85) AS b FROM h GROUP BY event_type)"
+
+
+@query("stratified_split", f"{_CUTS} SELECT event_id, event_type, CASE WHEN u <= a THEN 'train' WHEN u <= b THEN 'validation' ELSE 'test' END AS split FROM h JOIN q USING (event_type)")
 def stratified_split(spark, sf_dir):
     return sampling.stratified_split(table(spark, sf_dir, "events"), "event_type", "event_id", {"train": 0.7, "validation": 0.15, "test": 0.15}).select("event_id", "event_type", "split")
 
@@ -164,9 +174,9 @@ def gold_allocation(spark, sf_dir):
     return sampling.largest_remainder(cells, "name", "size", 150, 3)
 
 
-@query("random_mask", f"WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN w <> '' THEN {hash_sql("item_id || ':' || pos", '42')} ELSE 2.0e0 END, pos) AS rk FROM w) SELECT item_id, string_agg(CASE WHEN w <> '' AND rk <= 3 THEN '[MASK]' ELSE w END, ' ' ORDER BY pos) AS text FROM r GROUP BY item_id")
+@query("random_mask", f"WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN w <> '' THEN {hash_sql("doc_id || ':' || pos", '42')} ELSE 2.0e0 END, pos) AS rk FROM w) SELECT doc_id, string_agg(CASE WHEN w <> '' AND rk <= 3 THEN '[MASK]' ELSE w END, ' ' ORDER BY pos) AS text FROM r GROUP BY doc_id")
 def random_mask(spark, sf_dir):
-    return sampling.mask_words(table(spark, sf_dir, "benchmark"), "item_id", "text", 3)
+    return sampling.mask_words(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
 
 
 # audits

@@ -18,13 +18,9 @@ def clean_full(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("text_clean"))
 
 
-_ALT = "\\[removed\\]|\\[deleted\\]|\\[removed by reddit\\]"
-
-
-@query("scrub_email_url", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}', '<EMAIL>', 'g'), '(?i)https?://[^\s]+', '<URL>', 'g') AS text FROM documents""")
+@query("scrub_email_url", f"""SELECT doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', '<EMAIL>', 'g'), '{T.URL}', '<URL>', 'g') AS text FROM documents""")
 def scrub_email_url(spark, sf_dir):
-    t = F.regexp_replace("text", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", T.EMAIL_TOKEN)
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, r"(?i)https?://[^\s]+", T.URL_TOKEN).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.scrub_text(F.col("text"), mentions=False, phones=False).alias("text"))
 
 
 @query("scrub_full")
@@ -34,12 +30,13 @@ def scrub_full(spark, sf_dir):
 
 @query("edit_counts")
 def edit_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(*(F.sum(c).alias(k) for k, c in T.edit_counts(F.col("text")).items()))
+    d = table(spark, sf_dir, "documents").select(T.edit_counts("text").alias("e"))
+    return d.agg(*(F.sum(f"e.{k}").alias(k) for k in T.EDIT_NAMES))
 
 
-@query("token_estimate", r"SELECT item_id, len(regexp_extract_all(text, '[\p{L}\p{N}_\p{M}]+|[^\p{L}\p{N}_\p{M}\s]')) AS n_tokens_est, length(text) AS n_chars FROM benchmark")
+@query("token_estimate", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_\p{M}]+|[^\p{L}\p{N}_\p{M}\s]')) AS n_tokens_est, length(text) AS n_chars FROM documents")
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.token_estimate(F.col("text")).cast("bigint").alias("n_tokens_est"), F.char_length("text").cast("bigint").alias("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).cast("bigint").alias("n_tokens_est"), F.char_length("text").cast("bigint").alias("n_chars"))
 
 
 @query("record_ids", "SELECT doc_id, substr(sha256(source || ':' || doc_id), 1, 20) AS record_id FROM documents")
@@ -52,10 +49,10 @@ _STATUS = r"CASE WHEN text IS NULL THEN 'none' WHEN trim(text) = '' THEN 'empty'
 
 @query("input_status", f"SELECT {_STATUS} AS status, count(*) AS n FROM documents GROUP BY ALL")
 def input_status(spark, sf_dir):
-    from tidewell.operators.ingest import input_status as status
+    from tidewell.operators.ingest import clean_input, input_status as status
 
-    d = table(spark, sf_dir, "documents")
-    return d.select(status(F.col("text"), F.col("text"), F.col("lang")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").withColumn("clean", clean_input(F.col("text")))
+    return d.select(status(F.col("text"), F.col("clean"), F.col("lang")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 _WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
@@ -98,7 +95,7 @@ def mask_terms(spark, sf_dir):
 
 @query("lexical_tokens")
 def lexical_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("text_lexical"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("text_lexical"))
 
 
 @query("sentence_windows")
@@ -107,9 +104,9 @@ def sentence_windows(spark, sf_dir):
     return c.select("conv_id", "turn", F.posexplode(T.sentence_windows(F.col("text"), 1, 4, 24)).alias("window", "text"))
 
 
-@query("sentences", r"""WITH p AS (SELECT item_id, unnest(list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: trim(x)), lambda x: x <> '')) AS para FROM benchmark) SELECT item_id, CAST(sum(1 + len(regexp_extract_all(para, '[.!?…]["''”’)\]]*\s+\S'))) AS BIGINT) AS n_sentences FROM p GROUP BY item_id""")
+@query("sentences", r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: trim(x)), lambda x: x <> '')) AS para FROM documents) SELECT doc_id, CAST(sum(1 + len(regexp_extract_all(para, '[.!?…]["''”’)\]]*\s+\S'))) AS BIGINT) AS n_sentences FROM p GROUP BY doc_id""")
 def sentences(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences")).where("n_sentences > 0")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences")).where("n_sentences > 0")
 
 
 @query("chunks")
@@ -123,11 +120,11 @@ def chunks(spark, sf_dir):
 _KW = {k: "(?i)\\b(?:" + "|".join(w.replace("*", "\\w*") for w in v) + ")\\b" for k, v in KEYWORDS.items()}
 
 
-@query("keyword_scores", "SELECT item_id, " + ", ".join(f"len(list_filter(string_split(text, '.'), lambda x: regexp_matches(x, '{p}'))) AS {k}" for k, p in {k: "(?i)(^|[^\\p{L}\\p{N}_])(?:" + "|".join(w.replace("*", "[\\p{L}\\p{N}_]*") for w in v) + ")($|[^\\p{L}\\p{N}_])" for k, v in KEYWORDS.items()}.items()) + " FROM benchmark")
+@query("keyword_scores", "SELECT doc_id, " + ", ".join(f"len(list_filter(string_split(text, '.'), lambda x: regexp_matches(x, '{p}'))) AS {k}" for k, p in {k: "(?i)(^|[^\\p{L}\\p{N}_])(?:" + "|".join(w.replace("*", "[\\p{L}\\p{N}_]*") for w in v) + ")($|[^\\p{L}\\p{N}_])" for k, v in KEYWORDS.items()}.items()) + " FROM documents")
 def keyword_scores(spark, sf_dir):
     patterns = {k: "(?U)" + T.keyword_pattern(v) for k, v in KEYWORDS.items()}
-    t = scoring.keyword_hits(table(spark, sf_dir, "benchmark"), "item_id", F.split("text", r"\."), patterns)
-    return t.select("item_id", *(F.col(k).cast("bigint").alias(k) for k in KEYWORDS))
+    t = scoring.keyword_hits(table(spark, sf_dir, "documents"), "doc_id", F.split("text", r"\."), patterns)
+    return t.select("doc_id", *(F.col(k).cast("bigint").alias(k) for k in KEYWORDS))
 
 
 @query("shape_shares", r"SELECT round(avg(CAST(regexp_matches(text, '[A-Z]') AS DOUBLE)), 8) AS upper, round(avg(CAST(regexp_matches(text, '[.!?]') AS DOUBLE)), 8) AS sentence_end, round(avg(CAST(regexp_matches(text, '\n') AS DOUBLE)), 8) AS newline, round(avg(CAST(regexp_matches(text, '(http|www)') AS DOUBLE)), 8) AS url_like FROM documents")

@@ -47,14 +47,14 @@ emo AS (
 
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as topic assignments: one residue of the part is unassigned."""
-    t = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1996)
+    t = table(spark, sf_dir, "lineitem")
     topic = F.when(F.col("l_partkey") % 12 == 11, -1).otherwise(F.col("l_partkey") % 12).cast("int")
     return t.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("community"), topic.alias("topic_id")).agg(F.count("*").alias("n"))
 
 
 TOPICS_SQL = """tc AS (
     SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS community, CAST(CASE WHEN l_partkey % 12 = 11 THEN -1 ELSE l_partkey % 12 END AS INTEGER) AS topic_id, CAST(count(*) AS BIGINT) AS n
-    FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY ALL)"""
+    FROM lineitem GROUP BY ALL)"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
