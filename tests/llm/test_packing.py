@@ -3,15 +3,17 @@ from collections import defaultdict
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from tidewell.llm import packing
 from tidewell.llm.queries import tokenizer_path
 
 IDS = packing.Ids(tokenizer_path())
+OWN = Tokenizer.from_file(tokenizer_path())  # as it is loaded
 
 
 def plain(text):
-    return IDS.tok.encode(text, add_special_tokens=False).ids
+    return OWN.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -20,6 +22,29 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert np.frombuffer(IDS.of([text])[0], "<u4").tolist() == plain(text)
 
 
+def test_special_strings_are_their_tokens():
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275] == np.frombuffer(IDS.one("a <|endoftext|> b"), "<u4").tolist()
+    as_text = packing.Ids(tokenizer_path(), special_as_text=True)
+    assert 50256 not in np.frombuffer(as_text.one("a <|endoftext|> b"), "<u4")
+
+
+def test_every_character_and_long_runs():
+    for lo in range(0, 0x110000, 4096):
+        text = "|".join(f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)} .{chr(c)}" for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(IDS.one(text), "<u4").tolist() == plain(text)
+    for text in (" " * 1_000_000, " " * 400_000 + "x", "\n" * 300_000, "x" * 300_000):
+        assert np.frombuffer(IDS.one(text), "<u4").tolist() == plain(text)
+
+
+def test_bins_of_tasks_are_joined(make_docs):
+    rows = [(i, "word " * (300 + 37 * i % 400)) for i in range(64)]
+    docs = make_docs(rows).repartition(16)
+    packed = packing.pack(docs, tokenizer_path()).collect()
+    n = check(packed, dict(rows))
+    total = sum(r.length for r in packed)
+    assert n <= total / 2048 * 1.3 + 1  # sixteen tasks alone would leave sixteen open ones
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=200), st.integers(1, 6))
 def test_bins_hold_what_they_take(lengths, most):

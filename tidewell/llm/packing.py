@@ -1,43 +1,51 @@
 """Packing of documents into sequences by bounded-space online best-fit.
 
-Each task packs the documents of its own partition as they come, so that text is read and tokenised once and nothing is
-shuffled. A fixed number of bins is open; a bitset has bit f set if some open bin has f free places, so that the best fit is
-its lowest set bit at or above a piece's length. If a piece fits nowhere and all bins are open, the fullest closes first.
-Only documents longer than a sequence are cut; their first piece takes what is left over from whole sequences.
+Each task packs the documents of its own partition as they come, so that text is read and tokenised once and never shuffled. A
+fixed number of bins is open; a bitset has bit f set if some open bin has f free places, so that the best fit is its lowest set
+bit at or above a piece's length. If a piece fits nowhere and all bins are open, the fullest closes first. Only documents longer
+than a sequence are cut; their first piece takes what is left over from whole sequences.
 
-Null text counts as empty: such a document is its end mark alone. Rows repeat as they are given, each packed for itself, and keep their (perhaps null) id.
+What a task's bins still have room for when its documents end is not given up: such bins, as wholes, are packed once more by the
+same rule with those of JOINED_TASKS - 1 other tasks. Only their lengths, and then the few rows in them, are shuffled.
+
+Null text counts as empty: such a document is its end mark alone. Rows repeat as they are given, each packed for itself, and keep
+their (perhaps null) id. The strings of special tokens in a text are these tokens, as the tokeniser has it, unless special_as_text
+is set.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import Memo
+from tidewell.llm.common import cut
 
 MAX_TOKENS = 2048
 OPEN_BINS = 1024
 END_ID = 0
-#: Bytes of cached chunks are bounded by entries and by the length of each.
-CACHED, CACHED_CHARS = 800_000, 48
-_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
-#: Marks that a letter never shares a word with: what follows the letters of a chunk encodes by itself.
-_TAIL = ".,;:!?%&*$#"
+#: Bins with less room than this share of a sequence are not packed again. Tasks whose open bins meet.
+LEAST_ROOM, JOINED_TASKS = 1 / 32, 64
+#: Fixed value: how byte-level tokenisers split a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Bins:
-    """Open bins by free space. place() returns (bin, offset)."""
+    """Open bins by free space. place() returns (bin, offset) and notes bins that closed in `closed`."""
 
     def __init__(self, size: int = MAX_TOKENS, most: int = OPEN_BINS):
         self.size, self.most = size, most
         self.bits, self.n_open, self.opened = 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
+        self.closed: list[int] = []
 
     def _take(self, free: int) -> int:
         own = self.by_free[free]
@@ -53,7 +61,7 @@ class Bins:
             at = self._take(free)
         else:
             if self.n_open >= self.most and length < self.size:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))  # the fullest closes
             at, free = self.opened, self.size
             self.opened += 1
         left = free - length
@@ -61,8 +69,14 @@ class Bins:
             self.by_free[left].append(at)
             self.bits |= 1 << left
             self.n_open += 1
+        else:
+            self.closed.append(at)
         return at, self.size - free
 
+    def roomy(self, least: int) -> set[int]:
+        """Open bins with at least so much room."""
+        return {at for own in self.by_free[least:] for at in own}
+
 
 def pieces(n: int, size: int = MAX_TOKENS) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n > 0 ids."""
@@ -73,82 +87,60 @@ def pieces(n: int, size: int = MAX_TOKENS) -> list[tuple[int, int]]:
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokeniser's rule splits words so that a single space between two other characters always starts a new word. A text
-    therefore encodes as its chunks between such spaces. Chunks are cached; new ones are strung together, encoded in one call
-    and told apart by the bytes that each token stands for.
+    If the tokeniser's file is a plain byte-level one whose merges are numbered in order, its vocabulary also goes to a second
+    encoder of such vocabularies, which gives the same ids in a third of the time; texts that hold a special token's string, or
+    that this encoder refuses (runs of white space of some hundred thousand characters), go to the tokeniser itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: its alphabet has a character for each byte
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
-        self.known: dict[str, bytes] = {}  # by the chunk without its leading space
-        self.tails = Memo(lambda t: self._encode([t])[0].tobytes(), 20_000)
+        self.tok.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added)) if added and not special_as_text else r"(?!)")
+        self.fast = self._same_words(spec, set(added))
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """A text in pieces that encode independently: all but the first begin with a single space that goes unsaid."""
-        parts = text.split(" ")
-        if len(parts) == 1 or "" not in parts and not any(w in text and (f" {w}" in text or f"{w} " in text or text[-1] == w) for w in _OTHER_SPACE):
-            return parts
-        out = [parts[0]]
-        for before, part in zip(parts, parts[1:], strict=False):
-            # next to other white space, a space belongs to a run that is split as a whole
-            if before and part and not before[-1].isspace() and not part[0].isspace():
-                out.append(part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that end in no white space, each after a space."""
-        out = {}
-        for a, b in slices(new, 100_000):
-            part = new[a:b]
-            ids = self._encode([" " + " ".join(part)])[0]
-            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in part])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for c, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                out[c] = raw[at:cut]
-                at = cut
-        return out
+    def _same_words(spec: dict, added: set[str]):
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = (spec.get("normalizer"), split.get("add_prefix_space"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("ignore_merges"))
+        if model["type"] != "BPE" or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or any(odd):
+            return None
+        vocabulary = model["vocab"]
+        joined = [(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if any(vocabulary.get(x + y) != 256 + i for i, (x, y) in enumerate(joined)):
+            return None
+        import tiktoken
+
+        # each byte stands as a character: printable ones as themselves, the others from U+0100 on in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in added}
+        return tiktoken.Encoding("same", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def one(self, text: str) -> bytes:
+        if self.fast is None or self.special.search(text):
+            return self._plain(text)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return self._plain(text)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known = {}
-        split = [self.chunks(t) for t in texts]
-        known = self.known
-        new = {c for cs in split for c in cs[1:] if c not in known}
-        parted, plain = [], set()
-        for c in new:
-            if len(c) <= CACHED_CHARS and not c[-1].isspace():
-                core = c.rstrip(_TAIL)
-                if core != c and core.isalpha():
-                    parted.append((c, core, c[len(core) :]))
-                    if core not in known:
-                        plain.add(core)
-                else:
-                    plain.add(c)
-        known.update(self._learn(list(plain)))
-        for c, core, tail in parted:
-            known[c] = known[core] + self.tails[tail]
-        odd = [c for c in new if c not in known]
-        own = dict(zip(odd, (x.tobytes() for x in self._encode([" " + c for c in odd])), strict=True))
-        first = self._encode([cs[0] for cs in split])
-        if own:
-            return [x.tobytes() + b"".join([known[c] if c in known else own[c] for c in cs[1:]]) for x, cs in zip(first, split, strict=True)]
-        get = known.__getitem__
-        return [x.tobytes() + b"".join(map(get, cs[1:])) for x, cs in zip(first, split, strict=True)]
+        return [self.one(t) for t in texts]
+
+
+@cache
+def loaded(path: str, special_as_text: bool) -> Ids:
+    """One for each worker process, which serves many tasks."""
+    return Ids(path, special_as_text)
 
 
 def slices(values: list, most_chars: int = 400_000):
@@ -163,24 +155,60 @@ def slices(values: list, most_chars: int = 400_000):
         yield start, len(values)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = MAX_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_by_task(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, size: int, open_bins: int, special_as_text: bool) -> DataFrame:
+    """One row per piece, and whether its bin was left with room: id, piece, start, length, ids_crc32, sequence_id, offset, roomy. A bin's rows leave the task when it closes."""
+    kind = docs.select(id_col).schema[0].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names, own_kind = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "roomy"], to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bins, base = Ids(tokenizer_path), Bins(size, open_bins), TaskContext.get().partitionId() << 33
+        ids, bins, base = loaded(tokenizer_path, special_as_text), Bins(size, open_bins), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
+        held: dict[int, list[tuple]] = {}
+
+        def out(rows: list[tuple], roomy: list[bool]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], own_kind), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(roomy, pa.bool_())], names=names)
+
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts.to_pylist()):
-                row, cols = [], [[] for _ in range(6)]
-                for i, raw in enumerate(ids.of([t or "" for t in texts.slice(a, b - a).to_pylist()])):
-                    raw += end
+                for key, text in zip(keys.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True):
+                    raw = ids.one(text or "") + end
                     for k, (start, length) in enumerate(pieces(len(raw) // 4, size)):
                         at, offset = bins.place(length)
-                        row.append(a + i)
-                        for c, v in zip(cols, (k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), base + at, offset), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                        held.setdefault(at, []).append((key, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), base + at, offset))
+                done = [r for at in bins.closed for r in held.pop(at)]
+                bins.closed.clear()
+                yield out(done, [False] * len(done))
+        roomy = bins.roomy(max(1, int(size * LEAST_ROOM)))
+        rest = [(r, at in roomy) for at, rows in held.items() for r in rows]
+        yield out([r for r, _ in rest], [f for _, f in rest])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, roomy boolean")
+
+
+def join_bins(bins: DataFrame, size: int) -> DataFrame:
+    """(sequence_id, into, shift): bins (sequence_id, used) of up to JOINED_TASKS tasks packed together, longest first. A group holds JOINED_TASKS * OPEN_BINS bins at most."""
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["sequence_id"].to_pylist(), group["used"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+        whole, first, out = Bins(size, len(rows) + 1), {}, []
+        for sequence, used in rows:
+            at, shift = whole.place(used)
+            out.append((sequence, first.setdefault(at, sequence), shift))
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["sequence_id", "into", "shift"])
+
+    tasks = F.shiftright("sequence_id", 33)
+    return bins.withColumn("tasks", F.floor(tasks / JOINED_TASKS)).groupBy("tasks").applyInArrow(run, "sequence_id long, into long, shift long")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = MAX_TOKENS, open_bins: int = OPEN_BINS, special_as_text: bool = False) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    packed = cut(pack_by_task(docs, tokenizer_path, id_col, text_col, size, open_bins, special_as_text), "packed")
+    rest = packed.where("roomy")
+    moved = rest.join(join_bins(rest.groupBy("sequence_id").agg(F.sum("length").alias("used")), size), "sequence_id")
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    moved = moved.select(*columns, F.col("into").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
+    return packed.where("not roomy").select(*columns, "sequence_id", "offset").unionByName(moved)
