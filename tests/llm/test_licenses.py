@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidewell.llm import licenses as L
@@ -54,3 +55,47 @@ def test_documents_and_edges(spark, make_docs):
     rows = L.license_passages(make_docs([(1, None), (2, ""), (3, long), (4, "İ" * 50 + "\nReleased under the MIT License."), (4, "Released under the MIT License."), (None, "Licensed under CC BY 4.0.\n\nReleased under the MIT License.")])).collect()
     assert sorted((r.doc_id or 0, r.license) for r in rows) == [(0, "CC-BY-4.0"), (0, "MIT"), (3, "MIT"), (4, "MIT"), (4, "MIT")]
     assert L.license_passages(make_docs([])).count() == 0
+
+
+def nearest(pattern, words):
+    """Fewest word edits between a pattern and any passage, by the full table."""
+    row, best = list(range(len(pattern) + 1)), len(pattern)
+    for w in words:
+        new = [0]
+        for i, p in enumerate(pattern, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (p != w)))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def test_differing_wordings_against_brute_force():
+    """A template whose words were edited is reported if and only if the full table finds a passage near enough that leaves its deciding words alone."""
+    r = random.Random(11)
+    long = [(n, t) for n, ts in L.TEMPLATES.items() for t in ts if len(L.words(t)) >= 20]
+    seen = {True: 0, False: 0}
+    for _ in range(150):
+        name, text = r.choice(long)
+        own = text.split()
+        for _ in range(r.randint(0, len(own) // 3)):
+            j = r.randrange(len(own))
+            if not L.deciding(own[j].strip('.,:;()"').lower()) and not any(map(L.deciding, (w for w, _, _ in L.words(own[j])))):
+                own[j : j + 1] = r.choice([["other"], [], [own[j], "more"]])
+        block = "Copyright notice and permission: " + " ".join(own)
+        pattern = [w for w, _, _ in L.words(text)]
+        distance = nearest(pattern, [w for w, _, _ in L.words(block)])
+        got = name in names(block)
+        if distance <= 0.12 * len(pattern):
+            assert got, (name, distance, len(pattern), block)
+        elif distance > L.MOST_DIFFERENT * len(pattern) and not any(n == name and nearest([w for w, _, _ in L.words(t)], [w for w, _, _ in L.words(block)]) <= L.MOST_DIFFERENT * len(L.words(t)) for n, t in long):
+            assert not got, (name, distance, len(pattern), block)
+        else:
+            continue
+        seen[got] += 1
+    assert min(seen.values()) > 10
+
+
+def test_long_lines_and_ties():
+    mit = "Released under the MIT License."
+    for n in (300, 900, 5000, 40_000):
+        assert names("word " * n + mit + " word" * n) == ["MIT"]
+    assert [f[:2] for f in S.scan(f"{mit} {mit}")] == [(0, 30), (32, 62)]

@@ -5,8 +5,9 @@ fixed number of bins is open; a bitset has bit f set if some open bin has f free
 bit at or above a piece's length. If a piece fits nowhere and all bins are open, the fullest closes first. Only documents longer
 than a sequence are cut; their first piece takes what is left over from whole sequences.
 
-What a task's bins still have room for when its documents end is not given up: such bins, as wholes, are packed once more by the
-same rule with those of JOINED_TASKS - 1 other tasks. Only their lengths, and then the few rows in them, are shuffled.
+What a task's bins still have room for when its documents end is not given up: the pieces in such bins are packed once more, longest
+first and by the same rule, with those of JOINED_TASKS - 1 other tasks; what is short in a bin moves as one, so that few things
+move. Only their lengths, and then the rows in these bins, are shuffled.
 
 Null text counts as empty: such a document is its end mark alone. Rows repeat as they are given, each packed for itself, and keep
 their (perhaps null) id. The strings of special tokens in a text are these tokens, as the tokeniser has it, unless special_as_text
@@ -32,8 +33,8 @@ from tidewell.llm.common import cut
 MAX_TOKENS = 2048
 OPEN_BINS = 1024
 END_ID = 0
-#: Bins with less room than this share of a sequence are not packed again. Tasks whose open bins meet.
-LEAST_ROOM, JOINED_TASKS = 1 / 32, 64
+#: Bins with less room than this share of a sequence are not packed again. Pieces of less than this share move together. Tasks whose open bins meet.
+LEAST_ROOM, SHORT, JOINED_TASKS = 1 / 128, 1 / 32, 64
 #: Fixed value: how byte-level tokenisers split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -156,20 +157,29 @@ def slices(values: list, most_chars: int = 400_000):
 
 
 def pack_by_task(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, size: int, open_bins: int, special_as_text: bool) -> DataFrame:
-    """One row per piece, and whether its bin was left with room: id, piece, start, length, ids_crc32, sequence_id, offset, roomy. A bin's rows leave the task when it closes."""
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, item, within. A bin's rows leave the task when it closes. Those of a bin that was left with room have an item, a number of what moves as one, and their place within it."""
     kind = docs.select(id_col).schema[0].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names, own_kind = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "roomy"], to_arrow_type(kind)
+    names, own_kind = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "item", "within"], to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, bins, base = loaded(tokenizer_path, special_as_text), Bins(size, open_bins), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
         held: dict[int, list[tuple]] = {}
 
-        def out(rows: list[tuple], roomy: list[bool]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], own_kind), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(roomy, pa.bool_())], names=names)
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], own_kind), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=names)
+
+        def items(rows: list[tuple]) -> Iterator[tuple]:
+            short = 0
+            for i, r in enumerate(rows):
+                if r[3] < size * SHORT:
+                    yield (*r[:-2], -1, short)
+                    short += r[3]
+                else:
+                    yield (*r[:-2], i, 0)
 
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
@@ -178,37 +188,40 @@ def pack_by_task(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
                     raw = ids.one(text or "") + end
                     for k, (start, length) in enumerate(pieces(len(raw) // 4, size)):
                         at, offset = bins.place(length)
-                        held.setdefault(at, []).append((key, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), base + at, offset))
+                        held.setdefault(at, []).append((key, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), base + at, offset, None, None))
                 done = [r for at in bins.closed for r in held.pop(at)]
                 bins.closed.clear()
-                yield out(done, [False] * len(done))
+                yield out(done)
         roomy = bins.roomy(max(1, int(size * LEAST_ROOM)))
-        rest = [(r, at in roomy) for at, rows in held.items() for r in rows]
-        yield out([r for r, _ in rest], [f for _, f in rest])
+        yield out([r for at, rows in held.items() for r in (items(rows) if at in roomy else rows)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, roomy boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, item long, within long")
 
 
-def join_bins(bins: DataFrame, size: int) -> DataFrame:
-    """(sequence_id, into, shift): bins (sequence_id, used) of up to JOINED_TASKS tasks packed together, longest first. A group holds JOINED_TASKS * OPEN_BINS bins at most."""
+def join_bins(items: DataFrame, size: int) -> DataFrame:
+    """(sequence_id, item, into, at): items (sequence_id, item, used) of up to JOINED_TASKS tasks packed together, longest first. A group holds at most JOINED_TASKS * OPEN_BINS * (1 + 1 / SHORT) of them."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["sequence_id"].to_pylist(), group["used"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-        whole, first, out = Bins(size, len(rows) + 1), {}, []
-        for sequence, used in rows:
-            at, shift = whole.place(used)
-            out.append((sequence, first.setdefault(at, sequence), shift))
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["sequence_id", "into", "shift"])
+        rows = sorted(zip(*(group[c].to_pylist() for c in ("used", "sequence_id", "item")), strict=True), key=lambda r: (-r[0], *r[1:]))
+        bins, out = Bins(size, len(rows) + 1), []
+        for used, sequence, item in rows:
+            number, at = bins.place(used)
+            out.append((sequence, item, number, at))
+        # the new sequences take over numbers of the old ones, of which there are as many at least
+        numbers = sorted({r[1] for r in rows})
+        if bins.opened > len(numbers):  # packed worse than before: everything stays
+            return group.select(["sequence_id", "item"]).append_column("into", group["sequence_id"]).append_column("at", pa.nulls(len(group), pa.int64()))
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([numbers[r[2]] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())], names=["sequence_id", "item", "into", "at"])
 
     tasks = F.shiftright("sequence_id", 33)
-    return bins.withColumn("tasks", F.floor(tasks / JOINED_TASKS)).groupBy("tasks").applyInArrow(run, "sequence_id long, into long, shift long")
+    return items.withColumn("tasks", F.floor(tasks / JOINED_TASKS)).groupBy("tasks").applyInArrow(run, "sequence_id long, item long, into long, at long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = MAX_TOKENS, open_bins: int = OPEN_BINS, special_as_text: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     packed = cut(pack_by_task(docs, tokenizer_path, id_col, text_col, size, open_bins, special_as_text), "packed")
-    rest = packed.where("roomy")
-    moved = rest.join(join_bins(rest.groupBy("sequence_id").agg(F.sum("length").alias("used")), size), "sequence_id")
+    rest = packed.where("item is not null")
+    moved = rest.join(join_bins(rest.groupBy("sequence_id", "item").agg(F.sum("length").alias("used")), size), ["sequence_id", "item"])
     columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
-    moved = moved.select(*columns, F.col("into").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
-    return packed.where("not roomy").select(*columns, "sequence_id", "offset").unionByName(moved)
+    moved = moved.select(*columns, F.col("into").alias("sequence_id"), F.coalesce(F.col("at") + F.col("within"), F.col("offset")).alias("offset"))
+    return packed.where("item is null").select(*columns, "sequence_id", "offset").unionByName(moved)
