@@ -54,14 +54,20 @@ def poisson1(u: Column) -> Column:
     return F.size(F.filter(F.array(*(F.lit(p) for p in POISSON1)), lambda p: p <= u)).cast("double")
 
 
-def running(scores: DataFrame, score: str, sums: Iterable[str], bins: int = 1024) -> DataFrame:
-    """scores (one row per score in [0, 1]) with before_<c>, the total of c over smaller scores.
+def running(scores: DataFrame, score: str, sums: Iterable[str], bins: int = 256) -> DataFrame:
+    """scores (one row per score) with before_<c>, the total of c over smaller scores.
 
-    Scores are dealt into bins of equal width; each bin is summed on its own and the table of bins, of fixed size, gives what
-    lies before it. No window spans the table.
+    Scores are dealt into bins that hold about as many each, whatever their distribution; each bin is summed on its own and the
+    table of bins, of fixed size, gives what lies before it. No window spans the table.
     """
+    from pyspark.ml.feature import Bucketizer
+
     sums = list(sums)
-    binned = scores.withColumn("bin", F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * bins))
+    edges = sorted({*scores.approxQuantile(score, [i / bins for i in range(1, bins)], 1 / (4 * bins))} - {float("inf"), float("-inf")})
+    if edges:
+        binned = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=score, outputCol="bin", handleInvalid="keep").transform(scores)
+    else:
+        binned = scores.withColumn("bin", F.lit(0.0))
     whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = binned.groupBy("bin").agg(*(F.sum(c).alias(f"o_{c}") for c in sums)).select("bin", *(F.coalesce(F.sum(f"o_{c}").over(whole), F.lit(0)).alias(f"o_{c}") for c in sums))
     own = Window.partitionBy("bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)

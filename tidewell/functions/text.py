@@ -208,6 +208,30 @@ def lexical_tokens(t: Column) -> Column:
     return F.transform(kept, lambda w: F.when((F.length(w) > 3) & w.rlike("[^s]s$"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
 
 
+#: Frequent words by which a language is told when no detector is at hand.
+COMMON_WORDS = {
+    "en": "the and of to in is that for it was with as on be at by this are from or".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au".split(),
+    "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
+}
+LANGUAGE_CHARS = 1000
+
+
+def language_hits(t: Column) -> dict[str, Column]:
+    """How many of the words among the first LANGUAGE_CHARS characters are frequent in each language."""
+    words = F.split(F.lower(F.substring(F.coalesce(t, F.lit("")), 1, LANGUAGE_CHARS)), r"[^\p{L}]+")
+    return {lang: let(words, lambda w: F.size(F.filter(w, lambda x: x.isin(*common)))) for lang, common in COMMON_WORDS.items()}  # noqa: B023  it is called at once
+
+
+def guess_language(t: Column, least: float = 0.5) -> Column:
+    """en if at least so much of all hits are English; else the language with most hits (the first by name of equals), und if there are none."""
+    hits = language_hits(t)
+    total = reduce(lambda a, b: a + b, hits.values())
+    best = F.array_max(F.array(*(F.struct(c.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, c) in enumerate(sorted(hits.items())))))
+    return F.when(total == 0, "und").when(F.try_divide(hits["en"].cast("double"), total.cast("double")) >= least, "en").otherwise(best["lang"])
+
+
 def keyword_pattern(keywords: list[str]) -> str:
     """Whole words, case-insensitive; a trailing * takes any ending, spaces any white space."""
     def part(kw: str) -> str:

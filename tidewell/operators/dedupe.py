@@ -145,3 +145,12 @@ def set_fingerprint(df: DataFrame, id_col: str) -> DataFrame:
     """sha256 over the digests of 4,096 blocks of sorted ids, and their number: equal for equal sets of ids, and no task holds more than a block."""
     parts = df.select(F.col(id_col).cast("string").alias("id")).distinct().groupBy(F.substring(F.sha2("id", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n_ids"))
+
+
+def new_texts(df: DataFrame, seen: DataFrame | None, key: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is new, first of each text; the keys seen so far): a file's turn when files come one after another. seen has a column key; None before the first."""
+    fresh = keep_first(df, key, order).withColumn("__k", key)
+    if seen is not None:
+        fresh = fresh.join(seen.withColumnRenamed("key", "__k"), "__k", "left_anti")
+    keys = fresh.select(F.col("__k").alias("key"))
+    return fresh.drop("__k"), keys if seen is None else seen.unionByName(keys)

@@ -315,11 +315,9 @@ def correlation_report(df: DataFrame, score: str, other: str, y: str) -> DataFra
     """How a score goes with another of the same rows: rank correlation, rows where the other is known, its mean by label, and the AUC of both for the label."""
     known = df.where(F.col(other).isNotNull())
     rho = M.spearman(known, score, other).select("rho")
-    lo, hi = df.agg(F.min(other), F.max(other)).first()
-    scaled = known.withColumn("o", (F.col(other) - lo) / max((hi or 0) - (lo or 0), 1e-300)) if lo is not None else known.withColumn("o", F.lit(0.0))
     means = df.agg(F.count("*").alias("n"), F.count(other).alias("n_known"), F.avg(F.when(F.col(y) == 1, F.col(other))).alias("mean_1"), F.avg(F.when(F.col(y) == 0, F.col(other))).alias("mean_0"))
     auc = lambda t, c, name: M.roc_auc(t, y, c).select(F.col("roc_auc").alias(name))
-    return means.join(F.broadcast(rho)).join(F.broadcast(auc(known, score, "auc_score"))).join(F.broadcast(auc(scaled, "o", "auc_other")))  # one row each
+    return means.join(F.broadcast(rho)).join(F.broadcast(auc(known, score, "auc_score"))).join(F.broadcast(auc(known, other, "auc_other")))  # one row each
 
 
 def handcheck_noise(df: DataFrame, platform: str, auto: str, human: str, prevalence: DataFrame, least: int, least_cell: int = 3) -> DataFrame:

@@ -35,7 +35,7 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Area under the ROC curve for scores in [0, 1], tied scores averaged; null with one class only."""
+    """Area under the ROC curve, tied scores averaged; null with one class only."""
     t = running(score_counts(df, y, p), "p", ["neg"])
     return t.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)).alias("wins")).select("n_pos", "n_neg", ratio(F.col("wins"), F.col("n_pos") * F.col("n_neg")).alias("roc_auc"))
 
@@ -108,11 +108,10 @@ def multilabel_summary(long: DataFrame, threshold: float = 0.5) -> DataFrame:
     return micro.join(F.broadcast(rows.agg(F.avg(1 - F.col("any")).alias("subset_accuracy"), ratio(F.sum("wrong"), F.sum("l")).alias("hamming_loss"))))  # one row each
 
 
-def average_ranks(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
-    """(value, rank): the average rank of each distinct value of a column within [lo, hi]."""
+def average_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(value, rank): the average rank of each distinct value of a column."""
     counts = df.groupBy(F.col(col).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    scaled = counts.withColumn("s", (F.col("value") - lo) / max(hi - lo, 1e-300))
-    return running(scaled, "s", ["n"]).select("value", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    return running(counts, "value", ["n"]).select("value", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -121,8 +120,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     b = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if b[0] is None or b[0] == b[1] or b[2] == b[3]:
         return df.agg(F.lit(None).cast("double").alias("rho"), F.count("*").alias("n"))
-    rx = average_ranks(df, x, float(b[0]), float(b[1])).select(F.col("value").alias("vx"), F.col("rank").alias("rx"))
-    ry = average_ranks(df, y, float(b[2]), float(b[3])).select(F.col("value").alias("vy"), F.col("rank").alias("ry"))
+    rx = average_ranks(df, x).select(F.col("value").alias("vx"), F.col("rank").alias("rx"))
+    ry = average_ranks(df, y).select(F.col("value").alias("vy"), F.col("rank").alias("ry"))
     # ranks meet pairs of values, not rows
     pairs = df.groupBy(F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")).agg(F.count("*").alias("n")).join(rx, "vx").join(ry, "vy")
     n, m = F.col("n"), lambda a, b: F.sum(F.col("n") * a * b)
@@ -149,12 +148,18 @@ def noise_ceiling(ppv1: Column, q0: Column, prevalence: Column) -> dict[str, Col
 
 
 def verdict(rules: DataFrame) -> DataFrame:
-    """retrain if a retrain rule is met; ship if all others are; unknown (null) counts as not met."""
+    """retrain if a retrain rule is met; ship if all others are. An unknown rule (null) neither asks for retraining nor lets ship be reached: it is a caveat."""
     met = F.coalesce(F.col("met"), F.lit(False))
     t = rules.agg(F.max(F.when(F.col("level") == "retrain", met)).alias("retrain"), F.min(F.when(F.col("level") != "retrain", met)).alias("ship"), F.count_if((F.col("level") != "retrain") & ~met).alias("n_caveats"))
     return t.select(F.when(F.coalesce("retrain", F.lit(False)), "retrain").when(F.coalesce("ship", F.lit(True)), "ship").otherwise("ship with caveats").alias("verdict"), "n_caveats")
 
 
+def rule_states(rules: DataFrame) -> DataFrame:
+    """(level, state, n): how many rules of each level are met, not met or unknown (null)."""
+    state = F.when(F.col("met").isNull(), "unknown").when(F.col("met"), "met").otherwise("not met")
+    return rules.groupBy("level", state.alias("state")).agg(F.count("*").alias("n"))
+
+
 def log_loss_grid(df: DataFrame, margin: str, y: str, lo: float = -3.0, hi: float = 3.0, steps: int = 61) -> DataFrame:
     """Mean log loss of sigmoid(margin / T) over a grid of log T; the smallest first by the caller's order."""
     grid = F.array(*(F.lit(lo + (hi - lo) * i / (steps - 1)) for i in range(steps)))

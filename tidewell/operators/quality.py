@@ -21,10 +21,9 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """(value, n, share). The total is a sum over the counted values, joined back as one row."""
     t = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("<NA>")).alias("value")).agg(F.count("*").alias("n"))
-    return t.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))  # a row for each value
+    return t.join(F.broadcast(t.agg(F.sum("n").alias("total")))).select("value", "n", ratio(F.col("n"), F.col("total")).alias("share"))
 
 
 def volumes(df: DataFrame, period, by: str) -> DataFrame:
@@ -99,3 +98,78 @@ def check_publishable(df: DataFrame, k_min: int, counts: list[str]) -> None:
         raise ValueError(f"columns with strings of over 200 characters: {long}")
     if low := [c for c in counts if row[f"c_{c}"]]:
         raise ValueError(f"columns with counts below {k_min}: {low}")
+
+
+def tabular_audit(df: DataFrame) -> DataFrame:
+    """(column, type, n_null, n_unique, min, max, mean_chars), in one pass; min and max of numbers, mean_chars of strings."""
+    numeric = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
+    text = {c for c, t in df.dtypes if t == "string"}
+
+    def item(c: str, t: str):
+        col, none = F.col(f"`{c}`"), F.lit(None).cast("double")
+        return F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count_if(col.isNull()).alias("n_null"), F.count_distinct(col).alias("n_unique"), *((f(col).cast("double") if c in numeric else none).alias(n) for n, f in (("min", F.min), ("max", F.max))), (F.avg(F.char_length(col)) if c in text else none).alias("mean_chars"))
+
+    return df.agg(F.array(*(item(c, t) for c, t in df.dtypes)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def row_audit(df: DataFrame) -> DataFrame:
+    """(n, duplicate_rows, missing_total, all_numeric) of a whole table; rows are packed by their digest first."""
+    rows = df.select(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))), 256).alias("k"), sum((F.col(f"`{c}`").isNull().cast("int") for c in df.columns), F.lit(0)).alias("missing"))
+    t = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
+    numeric = all(k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal") for _, k in df.dtypes)
+    return t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_total"), F.lit(numeric).alias("all_numeric"))
+
+
+def free_text_columns(audit: DataFrame, least: float = 30.0) -> DataFrame:
+    """Columns of a tabular_audit whose strings are over `least` characters long on average."""
+    return audit.where(F.col("mean_chars") > least).select("column")
+
+
+def guess_text_and_label(df: DataFrame) -> DataFrame:
+    """(text_column, label_column): the string column with the longest values, and the first column that holds 0 and 1 and nothing else."""
+    order = {c: i for i, c in enumerate(df.columns)}
+    t = tabular_audit(df).withColumn("place", F.create_map(*(F.lit(x) for c, i in order.items() for x in (c, i)))[F.col("column")])
+    text = F.max(F.when(F.col("mean_chars").isNotNull(), F.struct("mean_chars", (-F.col("place")).alias("p"), "column")))["column"]
+    binary = (F.col("n_unique") == 2) & (F.col("min") == 0) & (F.col("max") == 1)
+    label = F.min(F.when(binary, F.struct("place", "column")))["column"]
+    return t.agg(text.alias("text_column"), label.alias("label_column"))
+
+
+#: Names by which columns of a header are told apart, and beginnings of names of features.
+HEADER_KINDS = {"text": ("post", "text", "body", "selftext", "title"), "date": ("date", "created_utc", "timestamp", "time"), "id": ("id", "post_id", "postid", "name", "link_id")}
+FEATURE_PREFIXES = ("liwc_", "tfidf_", "sent_", "n_")
+
+
+def classify_header(columns: list[str], author_fields: frozenset[str]) -> dict[str, list[str]]:
+    """Columns of a header by kind: feature, text, date, id, author; other is all that is none of these."""
+    kinds: dict[str, list[str]] = {k: [c for c in columns if c.lower() in names] for k, names in HEADER_KINDS.items()}
+    kinds["feature"] = [c for c in columns if c.startswith(FEATURE_PREFIXES)]
+    kinds["author"] = [c for c in columns if c.lower() in author_fields]
+    seen = {c for own in kinds.values() for c in own}
+    return kinds | {"other": [c for c in columns if c not in seen]}
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; raises if it has more rows than a report should."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} rows")
+    cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(map(cell, df.columns)) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def write_report(path, title: str, parts: dict[str, DataFrame]) -> None:
+    """Small tables under their headings as one Markdown file, and each as a CSV sheet beside it."""
+    import csv
+    from pathlib import Path
+
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    text = [f"# {title}", ""]
+    for name, df in parts.items():
+        text += [f"## {name}", "", markdown_table(df), ""]
+        with path.with_name(f"{path.stem}-{name}.csv").open("w", newline="") as f:
+            out = csv.writer(f)
+            out.writerow(df.columns)
+            out.writerows(df.collect())
+    path.write_text("\n".join(text))

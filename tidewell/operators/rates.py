@@ -106,19 +106,21 @@ def lift(df: DataFrame, k_min: int, threshold: float = 0.5) -> DataFrame:
     return suppress(t, "n_flagged", k_min, ["n_unflagged_sampled", "n_unflagged_weighted", "prev_flagged", "prev_unflagged", "lift"], F.col("n_unflagged_sampled") < k_min)
 
 
-def lift_bootstrap(df: DataFrame, k_min: int, key: str, replicates: int = 100, seed: int = 42, threshold: float = 0.5, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the overall lift: each record counts Poisson(1) times in a replicate, drawn by a hash of seed, replicate and record."""
+def lift_bootstrap(df: DataFrame, k_min: int, key: str, replicates: int = 100, seed: int = 42, threshold: float = 0.5, alpha: float = 0.05, per_community: bool = False) -> DataFrame:
+    """Percentile interval of the overall lift, and if asked for of each community's (scope): each record counts Poisson(1) times in a replicate, drawn by a hash of seed, replicate and record."""
     from tidewell.functions.stats import poisson1, short_hash
 
     rows = df.where(F.col("second_stage_scored") & F.col("sample_weight").isNotNull())
     labels = [c for p in FAMILIES.values() for c in df.columns if c.startswith(p)]
-    drawn = rows.select(key, "stress_flag", "sample_weight", *labels, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    drawn = rows.select(key, "community", "stress_flag", "sample_weight", *labels, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     w = poisson1(short_hash(F.concat_ws(":", F.col("b").cast("string"), F.col(key).cast("string")), str(seed))) * F.col("sample_weight")
     # one sum for each label while the rows pass, so that replicates are never unpivoted
-    sums = drawn.withColumn("w", w).groupBy("b", "stress_flag").agg(F.sum("w").alias("all"), *(F.sum(F.when(F.coalesce(F.col(c) >= threshold, F.lit(False)), F.col("w")).otherwise(0.0)).alias(c) for c in labels))
-    long = unpivot(sums, ["b", "stress_flag", "all"], FAMILIES, "s").withColumn("prev", ratio(F.col("s"), F.col("all")))
-    by_b = long.groupBy("level", "label", "b").agg(ratio(F.max(F.when(F.col("stress_flag"), F.col("prev"))), F.max(F.when(~F.col("stress_flag"), F.col("prev")))).alias("lift"))
-    return by_b.groupBy("level", "label").agg(F.percentile("lift", F.lit(alpha / 2)).alias("lift_ci_low"), F.percentile("lift", F.lit(1 - alpha / 2)).alias("lift_ci_high"), F.count("lift").alias("n_replicates"))
+    scope, by = ([F.explode(F.array(F.lit(ALL), F.col("community").cast("string"))).alias("scope")], ["scope"]) if per_community else ([], [])
+    own = drawn.withColumn("w", w).groupBy("b", "stress_flag", *(["community"] if per_community else [])).agg(F.sum("w").alias("all"), *(F.sum(F.when(F.coalesce(F.col(c) >= threshold, F.lit(False)), F.col("w")).otherwise(0.0)).alias(c) for c in labels))
+    sums = own.select("b", "stress_flag", "all", *labels, *scope).groupBy("b", "stress_flag", *by).agg(*(F.sum(c).alias(c) for c in ("all", *labels)))
+    long = unpivot(sums, ["b", "stress_flag", "all", *by], FAMILIES, "s").withColumn("prev", ratio(F.col("s"), F.col("all")))
+    by_b = long.groupBy(*by, "level", "label", "b").agg(ratio(F.max(F.when(F.col("stress_flag"), F.col("prev"))), F.max(F.when(~F.col("stress_flag"), F.col("prev")))).alias("lift"))
+    return by_b.groupBy(*by, "level", "label").agg(F.percentile("lift", F.lit(alpha / 2)).alias("lift_ci_low"), F.percentile("lift", F.lit(1 - alpha / 2)).alias("lift_ci_high"), F.count("lift").alias("n_replicates"))
 
 
 def community_agreement(lifts: DataFrame) -> DataFrame:

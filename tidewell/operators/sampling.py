@@ -82,3 +82,28 @@ def mask_words(df: DataFrame, key: str, text: str, n: int, token: str = "[MASK]"
     t = words.withColumn("w", F.when(ok & (rank <= n), token).otherwise(F.col("w")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     return t.groupBy(key).agg(F.when(F.max("pos").isNotNull(), whole).alias(text))
+
+
+def balanced_group_split(df: DataFrame, group: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """Splits that no group spans and that hold like shares of each label: groups are split within those of the same commonest label (the smaller of equals)."""
+    cells = df.groupBy(F.col(group).alias("__g"), F.col(label).alias("__l")).agg(F.count("*").alias("n"))
+    own = cells.groupBy("__g").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("__l"))).alias("m")).select("__g", F.col("m.__l").alias("__l"))
+    split = stratified_split(own, "__l", "__g", shares, seed).select("__g", "split")
+    return df.join(split, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def check_partition(df: DataFrame, splits: DataFrame, key: str = "record_id") -> None:
+    """Raises unless a (key, split) table gives every row of df exactly one split and holds nothing else."""
+    own = splits.groupBy(key).agg(F.count("*").alias("n"))
+    t = df.select(key).distinct().withColumn("here", F.lit(True)).join(own, key, "full_outer")
+    bad = t.agg(F.count_if(F.col("n") > 1).alias("twice"), F.count_if(F.col("n").isNull()).alias("without"), F.count_if(F.col("here").isNull()).alias("unknown")).first()
+    if any(bad):
+        raise ValueError(f"splits: {bad['twice']} keys twice, {bad['without']} without, {bad['unknown']} unknown")
+
+
+def top_ngrams(df: DataFrame, tokens: str, by: list[str], sizes: tuple[int, ...], top: int) -> DataFrame:
+    """(by, ngram, n): the commonest runs of so many tokens in each group; ties by name."""
+    runs = lambda k: F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = df.select(*by, F.explode(F.concat(*(runs(k) for k in sizes))).alias("ngram")).groupBy(*by, "ngram").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "ngram"))
+    return grams.withColumn("rank", rank).where(F.col("rank") <= top)

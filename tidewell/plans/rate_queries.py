@@ -100,6 +100,19 @@ def lift_bootstrap_ci(spark, sf_dir):
     return rounded(rates.lift_bootstrap(records(spark, sf_dir), K_MIN, "event_id", 20), 6)
 
 
+@query(
+    "lift_bootstrap_scopes",
+    f"""WITH {RECORDS_SQL}, b AS (SELECT unnest(range(0, 20)) AS b),
+    d AS (SELECT b, event_id, CAST(('0x' || substr(sha256('42:' || b || ':' || event_id), 1, 12)) AS BIGINT) / 281474976710656.0e0 AS u FROM r, b WHERE second_stage_scored),
+    dw AS (SELECT b, event_id, {_POISSON} AS m FROM d), es AS (SELECT event_id, level, label, stress_flag, sample_weight, p, unnest(['ALL', community]) AS scope FROM emo),
+    s AS (SELECT dw.b, e.scope, e.level, e.label, e.stress_flag, sum(m * sample_weight) AS n, coalesce(sum(m * sample_weight) FILTER (WHERE p >= 0.5e0), 0) AS k FROM dw JOIN es e USING (event_id) GROUP BY ALL),
+    l AS (SELECT scope, level, label, b, max(k / nullif(n, 0)) FILTER (WHERE stress_flag) / nullif(max(k / nullif(n, 0)) FILTER (WHERE NOT stress_flag), 0) AS lift FROM s GROUP BY ALL)
+    SELECT scope, level, label, {rnd('quantile_cont(lift, 0.025)', 'lift_ci_low', 6)}, {rnd('quantile_cont(lift, 0.975)', 'lift_ci_high', 6)}, count(lift) AS n_replicates FROM l GROUP BY ALL""",
+)
+def lift_bootstrap_scopes(spark, sf_dir):
+    return rounded(rates.lift_bootstrap(records(spark, sf_dir), K_MIN, "event_id", 20, per_community=True), 6)
+
+
 _co = wilson_sql("k", "n")
 
 

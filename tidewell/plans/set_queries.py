@@ -157,6 +157,24 @@ def stratified_split(spark, sf_dir):
     return sampling.stratified_split(table(spark, sf_dir, "events"), "event_type", "event_id", {"train": 0.7, "validation": 0.15, "test": 0.15}).select("event_id", "event_type", "split")
 
 
+@query(
+    "balanced_group_split",
+    f"""WITH c AS (SELECT user_id AS g, event_type AS l, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT g, l, {hash_sql("g", "42")} AS u FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, l) = 1),
+    q AS (SELECT l, quantile_disc(u, 0.8) AS a FROM o GROUP BY l) SELECT event_id, CASE WHEN u <= a THEN 'train' ELSE 'test' END AS split FROM events JOIN o ON user_id = g JOIN q USING (l)""",
+)
+def balanced_group_split(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return sampling.balanced_group_split(e, "user_id", "event_type", {"train": 0.8, "test": 0.2}).select("event_id", "split")
+
+
+@query("new_texts", f"WITH a AS (SELECT doc_id, {KEY} AS k FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id, {KEY} AS k FROM documents WHERE doc_id % 3 = 1) SELECT min(doc_id) AS doc_id FROM b WHERE k NOT IN (SELECT k FROM a) GROUP BY k")
+def new_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    _, seen = dedupe.new_texts(d.where("doc_id % 3 = 0"), None, _key(None), [F.col("doc_id")])
+    fresh, _ = dedupe.new_texts(d.where("doc_id % 3 = 1"), seen, _key(None), [F.col("doc_id")])
+    return fresh.select("doc_id")
+
+
 @query("busiest_day_sample", "WITH b AS (SELECT CAST(ts AS DATE) AS day FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) = (SELECT day FROM b) ORDER BY event_id LIMIT 50")
 def busiest_day_sample(spark, sf_dir):
     return sampling.busiest_day(table(spark, sf_dir, "events"), "ts", "event_id", 50).select("event_id", "day")

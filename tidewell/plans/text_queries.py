@@ -130,3 +130,19 @@ def keyword_scores(spark, sf_dir):
 @query("shape_shares", r"SELECT round(avg(CAST(regexp_matches(text, '[A-Z]') AS DOUBLE)), 8) AS upper, round(avg(CAST(regexp_matches(text, '[.!?]') AS DOUBLE)), 8) AS sentence_end, round(avg(CAST(regexp_matches(text, '\n') AS DOUBLE)), 8) AS newline, round(avg(CAST(regexp_matches(text, '(http|www)') AS DOUBLE)), 8) AS url_like FROM documents")
 def shape_shares(spark, sf_dir):
     return rounded(quality.shape_shares(table(spark, sf_dir, "documents"), "text"))
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(c) for c in common)}))) AS {lang}_" for lang, common in T.COMMON_WORDS.items())
+
+
+@query("guess_language", f"WITH w AS (SELECT doc_id, string_split_regex(lower(substr(text, 1, 1000)), '[^\\p{{L}}]+') AS w FROM documents), h AS (SELECT doc_id, {_HITS} FROM w), t AS (SELECT *, en_ + de_ + fr_ + es_ AS n FROM h) SELECT doc_id, CASE WHEN n = 0 THEN 'und' WHEN en_ / CAST(n AS DOUBLE) >= 0.5e0 THEN 'en' WHEN de_ >= greatest(en_, es_, fr_) THEN 'de' WHEN en_ >= greatest(es_, fr_) THEN 'en' WHEN es_ >= fr_ THEN 'es' ELSE 'fr' END AS guess FROM t")
+def guess_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.guess_language(F.col("text")).alias("guess"))
+
+
+@query("top_ngrams", "WITH w AS (SELECT role, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM conversations), g AS (SELECT role, unnest(w) AS ngram FROM w UNION ALL SELECT role, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2), c AS (SELECT role, ngram, count(*) AS n FROM g GROUP BY ALL) SELECT role, ngram, n, CAST(row_number() OVER (PARTITION BY role ORDER BY n DESC, ngram) AS INTEGER) AS rank FROM c QUALIFY rank <= 10")
+def top_ngrams(spark, sf_dir):
+    from tidewell.operators.sampling import top_ngrams as top
+
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    return top(table(spark, sf_dir, "conversations").select("role", words.alias("w")), "w", ["role"], (1, 2), 10)

@@ -54,6 +54,37 @@ def write_enriched(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("source", "date").parquet(path)
 
 
+def write_restricted(lake: DataFrame, path: str) -> None:
+    """Texts of scored records in a place of their own, by source and date; it must not be within the enriched table's."""
+    t = lake.select("record_id", "text_clean", "source", F.to_date("created_at").alias("date"))
+    t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("source", "date").parquet(path)
+
+
+def write_date(enriched: DataFrame, path: str, date: str, markers: str, settings: dict, texts: DataFrame | None = None, restricted: str | None = None) -> dict:
+    """Writes one date of an enriched table (and its texts where they are kept), and last of all its marker: where that is, the date is done. Returns the marker."""
+    from tidewell.sources.ledger import settings_hash, write_json
+    from tidewell.sources.scratch import written
+
+    if restricted is not None and (restricted.rstrip("/") + "/").startswith(path.rstrip("/") + "/"):
+        raise ValueError("restricted texts must not be kept within the enriched table")
+    day = written(enriched.where(F.col("date") == F.lit(date).cast("date")), "enriched")  # models run once
+    write_enriched(day, path)
+    if restricted is not None and texts is not None:
+        write_restricted(texts.where(F.to_date("created_at") == F.lit(date).cast("date")), restricted)
+    n = day.agg(F.count("*"), F.count_if(F.col("input_status").isin(*SCORED)), F.count_if("second_stage_scored")).first()
+    marker = {"date": date, "rows_in": n[0], "rows_scored": n[1], "rows_second_stage": n[2], "settings": settings_hash(settings), "text_written_to_restricted": restricted is not None and texts is not None}
+    write_json(f"{markers}/{date}.json", marker)
+    return marker
+
+
+def read_markers(markers: str) -> dict[str, dict]:
+    """Markers of finished dates by date."""
+    import json
+    from pathlib import Path
+
+    return {p.stem: json.loads(p.read_text()) for p in sorted(Path(markers).glob("*.json"))}
+
+
 def load_enriched(spark: SparkSession, path: str, columns: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
     """Scored records with chosen columns and families."""
     t = spark.read.parquet(path)

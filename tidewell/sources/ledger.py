@@ -33,6 +33,55 @@ def verify_bundle(folder: str | Path, listed: dict[str, str]) -> list[str]:
     return [name for name, digest in listed.items() if not (folder / name).is_file() or file_digest(folder / name) != digest]
 
 
+def folder_digests(folder: str | Path, suffixes: tuple[str, ...] = ()) -> dict[str, str]:
+    """Digests of all files under a folder by their path in it; with suffixes only of those, such as the code of a package."""
+    folder = Path(folder)
+    return {str(p.relative_to(folder)): file_digest(p) for p in sorted(folder.rglob("*")) if p.is_file() and (not suffixes or p.suffix in suffixes) and "__pycache__" not in p.parts}
+
+
+def folder_digest(folder: str | Path, suffixes: tuple[str, ...] = ()) -> str:
+    return settings_hash(folder_digests(folder, suffixes))
+
+
+def write_manifest(folder: str | Path, **more) -> dict:
+    """manifest.json of a folder: digests of its files and what else is said of it. Written last, it says that the folder is whole."""
+    folder = Path(folder)
+    listed = {n: d for n, d in folder_digests(folder).items() if n != "manifest.json"}
+    data = {"files": listed, **more}
+    write_json(folder / "manifest.json", data)
+    return data
+
+
+def versions(root: str | Path, component: str) -> list[str]:
+    """Versions (folders v<digits> with a manifest) of a component, oldest first."""
+    return sorted(p.name for p in (Path(root) / component).glob("v[0-9]*") if (p / "manifest.json").is_file())
+
+
+def pinned_version(root: str | Path, component: str, pin: str = "latest") -> str | None:
+    """The pinned version, or the latest; None if there is none. Raises if a pinned one is not there."""
+    found = versions(root, component)
+    if pin == "latest":
+        return found[-1] if found else None
+    if pin not in found:
+        raise FileNotFoundError(f"{component} has no version {pin}; there are {found}")
+    return pin
+
+
+def load_bundle(root: str | Path, pins: dict[str, str]) -> dict:
+    """{component: {version, manifest, folder}} and bundle_id, after all listed files were hashed again; raises if any differs or a component is not there."""
+    out: dict = {}
+    for component, pin in pins.items():
+        version = pinned_version(root, component, pin)
+        if version is None:
+            raise FileNotFoundError(f"there is no {component}")
+        folder = Path(root) / component / version
+        manifest = json.loads((folder / "manifest.json").read_text())
+        if not manifest.get("files") or (bad := verify_bundle(folder, manifest["files"])):
+            raise ValueError(f"{component} {version}: {bad if manifest.get('files') else 'the manifest lists no files'}")
+        out[component] = {"version": version, "manifest": file_digest(folder / "manifest.json"), "folder": str(folder)}
+    return out | {"bundle_id": settings_hash({c: v["manifest"] for c, v in out.items()})}
+
+
 class Ledger:
     """Events of named steps in a JSON-lines file; the latest event of a step says how it stands."""
 
