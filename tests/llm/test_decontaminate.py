@@ -105,3 +105,11 @@ def test_every_segment_of_the_share_counts():
         most = max((int(equal[x:y].sum()) for x in range(len(equal)) for y in range(x + 1, len(equal) + 1) if equal[x:y].sum() * 5 >= (y - x) * 4), default=0)
         start, end, same = D.longest_segment(equal)
         assert same == most == equal[start:end].sum() and same * 5 >= (end - start) * 4
+
+
+def test_repeats_and_ties(spark, make_docs):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    docs = make_docs([(3, item), (3, item), (4, f"x {item} y z {item}")])
+    rows = sorted((r.doc_id, r.item_id, r.start_token) for r in D.contaminated(docs, bench).collect())
+    assert rows == [(3, 1, 0), (3, 1, 0), (3, 2, 0), (3, 2, 0), (4, 1, 1), (4, 2, 1)]

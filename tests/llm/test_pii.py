@@ -65,3 +65,16 @@ def test_edges_and_redaction(make_docs, spark):
     texts = {r.doc_id: r for r in out.collect()}
     assert texts[3].text == "<EMAIL> or <IP>" and texts[3].n_chars == 15 and texts[None].text == "<PHONE>" and texts[1].text is None
     assert pii.pii_spans(make_docs([])).count() == 0
+
+
+def test_cues_in_any_case():
+    for text, kind, want in (
+        ("My IbaN: DE89 3704 0044 0532 0130 00.", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("Password = abcdefgh12345678XYZ", "secret", "abcdefgh12345678XYZ"),
+        ("API_KEY: 0123456789abcdef0123", "secret", "0123456789abcdef0123"),
+        ("Api-Key='0123456789abcdef0123'", "secret", "0123456789abcdef0123"),
+        ("ACCOUNT NUMBER: 12345678", "account", "12345678"),
+        ("İİ Account No 12345678", "account", "12345678"),
+    ):
+        assert [text[a:b] for a, b in pii.find_spans(text, ANCHORS)[kind]] == [want], text
+    assert not pii.find_spans("la calle tres 14 y el street 5", ANCHORS)["address"]

@@ -9,7 +9,8 @@ Tokens are white-space separated, case-folded and stripped to letters and digits
 are equal, or if a segment of which 0.8 are equal has at least 13 equal tokens; every such overlap has a seed. Reported is the
 segment with most points (one for an equal token, four off for another) if it has 13 equal tokens, or else the one with most
 equal tokens. Items of five to seven tokens are matched whole; shorter ones match nothing. Null or empty texts match
-nothing; repeated rows give the same result once for each id; an empty benchmark gives no rows.
+nothing; each row of either table counts by itself, so equal documents and equal items give a row for each pair of them; an empty
+benchmark gives no rows. Of overlaps with one item the one with most equal tokens is reported, and of equals the first in the text.
 """
 
 from __future__ import annotations
@@ -141,8 +142,9 @@ def overlaps(toks: np.ndarray, index: Index) -> list[tuple]:
         if found is None:
             continue
         start, end, same = found
-        if k not in best or (same, -start) > (best[k][1], -best[k][3]):
-            best[k] = (index.ids[k], same, len(item), a + d + start, end - start)
+        first = a + d + start
+        if k not in best or (same, -first) > (best[k][1], -best[k][3]):
+            best[k] = (index.ids[k], same, len(item), first, end - start)
     return [best[k] for k in sorted(best)]
 
 

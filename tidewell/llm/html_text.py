@@ -310,8 +310,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = cut(parse_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages", "zstd")
     found = cut(templates(parsed), "templates")
     if found.count() <= MOST_BROADCAST:
-        rows = found.collect()
-        keys = tuple(np.sort(np.array([r["key"] for r in rows if r["inside"] == inside], np.int64)) for inside in (False, True))
+        rows = found.toArrow()
+        key, within = rows["key"].to_numpy(), rows["inside"].to_numpy()
+        keys = (np.sort(key[~within]), np.sort(key[within]))
         return without(parsed, id_col, url_col, pages.sparkSession.sparkContext.broadcast(keys))
     hits = parsed.select("row", F.explode("trees.key").alias("key")).join(found, "key").groupBy("row").agg(F.collect_set(F.when(~F.col("inside"), F.col("key"))).alias("gone"), F.collect_set(F.when(F.col("inside"), F.col("key"))).alias("gone_inside"))
     return without(parsed.join(hits, "row", "left"), id_col, url_col, None)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import Memo, cut, small
+from tidewell.llm.common import Memo, cut, discard, small
 from tidewell.llm.decontaminate import token_hash, tokens
 
 K, N_SKETCHES, PER_SKETCH, SIMILARITY = 5, 18, 3, 0.8
@@ -214,7 +214,9 @@ def components(links: DataFrame) -> DataFrame:
         nearest = edges.join(degrees.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min(order("to")).alias("nearest"))
         steps.append(cut(degrees.join(nearest, "id").select("id", F.least(order("id"), "nearest")["node"].alias("label")), "labels"))
         taken = lambda end: steps[-1].select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        done = edges
         edges = cut(edges.join(taken("id"), "id").join(taken("to"), "to").select(F.col("id_label").alias("id"), F.col("to_label").alias("to")).where("id <> to").distinct(), "links")
+        discard(done, degrees)
         if not edges.limit(1).count():
             break
     labels = steps.pop()

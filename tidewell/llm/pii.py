@@ -25,13 +25,14 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DIGITS = frozenset("0123456789")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
-#: Cue words, by the kind that they start.
+#: Cue words, by the kind that they start. They are found in any case, but for those of addresses.
 CUES = {
-    "iban": ("IBAN", "iban"),
-    "account": ("account no", "Account no", "account number", "Account number", "acct", "Kontonummer", "Konto-Nr", "SSN", "ssn", "passport", "Passport"),
-    "secret": ("token", "password", "passwd", "api_key", "apikey", "secret_key"),
+    "iban": ("iban",),
+    "account": ("account no", "account number", "acct", "kontonummer", "konto-nr", "ssn", "passport"),
+    "secret": ("token", "password", "passwd", "api_key", "api-key", "api key", "apikey", "secret_key", "secret-key"),
     "address": (" Street", " Avenue", " Road", " Lane", " Boulevard", "straße", " rue ", "Calle "),
 }
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
@@ -72,16 +73,22 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(word, ("digit" if word in DIGITS else word, len(word)))
     for kind, words in CUES.items():
         for word in words:
-            found.add_word(word, (kind, len(word)))
+            found.add_word(word.lower(), (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, place for place: where a letter would become two, only A to Z are lowered."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order of start."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = phone_end = ip_end = card_end = run_end = url_end = 0
-    for last, (kind, length) in anchors.iter(text):
+    for last, (kind, length) in anchors.iter(lowered(text)):
         at = last + 1 - length
         if kind == "digit":
             if at < run_end:
@@ -125,6 +132,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tupl
         elif kind == "secret":
             if m := _SECRET.match(text, last + 1):
                 spans["secret"].append(m.span(1))
+        elif text[at : last + 1] not in CUES["address"]:
+            continue
         elif (m := _HOUSE_BEFORE.search(text, max(0, at - 130), at)) and text[at] == " ":
             spans["address"].append((m.start(1), last + 1))
         elif text[last] in " e" and (m := _HOUSE_AFTER.match(text, last + 1)):
