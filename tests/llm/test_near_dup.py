@@ -149,3 +149,71 @@ def test_sketches_find_what_is_similar(words):
             missed["all"] += 1
             missed["missed"] += not (N.sketches(x) == N.sketches(y)).any()
     assert missed["all"] > 150 and missed["missed"] == 0
+
+
+def in_runs(a, b, k=5):
+    """Most k-mers inside aligned runs over all alignments with the fewest edits, by the full table: for each pair of places the fewest edits, and for each length of the run that ends there (k counts for all longer ones) the most k-mers."""
+    prev = [(j, {0: 0}) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        cur = [(i, {0: 0})]
+        for j, y in enumerate(b, 1):
+            ways = [(prev[j][0] + 1, {0: max(prev[j][1].values())}), (cur[-1][0] + 1, {0: max(cur[-1][1].values())})]
+            if x == y:
+                runs = {}
+                for r, c in prev[j - 1][1].items():
+                    r = min(k, r + 1)
+                    runs[r] = max(runs.get(r, -1), c + (r == k))
+                ways.append((prev[j - 1][0], runs))
+            else:
+                ways.append((prev[j - 1][0] + 1, {0: max(prev[j - 1][1].values())}))
+            least = min(w[0] for w in ways)
+            merged = {}
+            for e, runs in ways:
+                if e == least:
+                    for r, c in runs.items():
+                        merged[r] = max(merged.get(r, -1), c)
+            cur.append((least, merged))
+        prev = cur
+    return max(prev[-1][1].values())
+
+
+def grams(w, k=5):
+    seen, out = defaultdict(int), set()
+    for i in range(len(w) - k + 1):
+        g = tuple(w[i : i + k])
+        out.add((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
+def test_recall_by_similarity_band(make_docs, words):
+    """Pairs that an independent full alignment finds similar, by band of the Jaccard similarity of their labelled k-mers."""
+    r = random.Random(21)
+    rows, pairs = [], []
+    for g in range(240):
+        base = r.choices(words, k=r.choice([60, 90, 140, 180]))
+        other = edit(" ".join(base), r, r.choice([1, 1, 2, 3, 4])).split()
+        rows += [(2 * g, base), (2 * g + 1, other)]
+        pairs.append((2 * g, 2 * g + 1))
+    got = {x.doc_id: x.class_id for x in N.near_duplicates(make_docs([(i, " ".join(w)) for i, w in rows])).collect()}
+    text, found, total = dict(rows), defaultdict(int), defaultdict(int)
+    for a, b in pairs:
+        x, y = text[a], text[b]
+        n, m = len(x) - 4, len(y) - 4
+        common = in_runs(x, y)
+        jaccard = len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+        if common >= 0.8 * (n + m - common):
+            band = min(3, int((jaccard - 0.8) / 0.05 + 1e-9))
+            total[band] += 1
+            found[band] += got[a] == got[b]
+        elif jaccard < 0.8:
+            assert got[a] != got[b], (a, b, jaccard)
+    print({k: (found[k], total[k]) for k in sorted(total)})
+    assert set(total) == {0, 1, 2, 3} and all(total[k] >= 15 and found[k] >= 0.95 * total[k] for k in total), (dict(found), dict(total))
+
+
+def test_ties_and_clashing_names(make_docs):
+    text = "a b c d e f g h i j"
+    docs = make_docs([(7, text), (3, text), (5, text), (3, text)]).withColumnsRenamed({"id": "__kept", "key": "node", "seq": "class_id"})
+    kept = N.drop_near_duplicates(docs)
+    assert [r.doc_id for r in kept.collect()] == [3] and kept.columns == docs.columns
