@@ -14,17 +14,17 @@ from tidewell.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go; those without text, and all of them where labels of one class are missing, stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id stays."""
+    """Of each near-duplicate class the document with the smallest id stays, as one row; rows without id stay."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; those without text stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents: pieces of what is left, with their places in sequences.
+
+    Rows without id pass every stage but take no part in the near-duplicate one; null and empty texts are one class there and pack as
+    their end mark. Rows that share an id are one document to it. Columns that documents has beyond those of the contract stay until
+    the last stage, whatever they are called. Empty tables give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
