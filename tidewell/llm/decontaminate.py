@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import Memo
+from tidewell.llm.common import Memo, small
 
 #: 1 keeps a token, 0 ignores it. However a fifth of eight or more tokens is replaced, one of them is left whole;
 #: without the shorter one that would not hold for 8, 10, 15 and 16 tokens.
@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def against(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, memo = shared.value, Memo(token_hash)
-            for batch in batches:
+            for batch in small(batches):
                 row, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     own = overlaps(tokens(text, memo), index) if text else []
@@ -198,7 +198,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     def without(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, memo = shared.value, Memo(token_hash)
-            for batch in batches:
+            for batch in small(batches):
                 yield batch.filter(pa.array([not t or not overlaps(tokens(t, memo), index) for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
         return run

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.llm.common import small
+
 BITS = 14
 BUCKETS = 1 << BITS
 PER_LANG, EPOCHS = 600, 2
@@ -95,7 +97,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     df[counts(text)[0]] += 1
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_col
         drawn = drawn | ((F.col("lang") == lang) & (draw < p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1))], names=["id", "lang", "at", "n"])
 
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             langs, scores = [], []
             for text in batch.column(2).to_pylist():
                 if own is None or not text or not has_letter(text):

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import Memo
+from tidewell.llm.common import Memo, small
 
 #: Wordings of public licences and notices.
 TEMPLATES = {
@@ -231,7 +231,7 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in small(batches):
             row, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own = scanner.scan(text) if text else []

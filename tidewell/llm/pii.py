@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewell.llm.common import small
+
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret", "address")
 BASE = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,7 +168,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for batch in small(batches):
             counts, digests, every = {k: [] for k in BASE}, [], []
             for text in batch.column(1).to_pylist():
                 spans = find_spans(text or "", anchors)
@@ -187,7 +189,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None =
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for batch in small(batches):
             texts = [t and redact(t, find_spans(t, anchors)) for t in batch.column(text_at).to_pylist()]
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())

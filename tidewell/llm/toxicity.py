@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import Memo
+from tidewell.llm.common import Memo, small
 
 PER_CLASS, FOLDS, MOST_FEATURES, L1, STEPS = 1500, 5, 2048, 2e-4, 150
 PREFIXES = (3, 4, 6)
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_features)
-        for batch in batches:
+        for batch in small(batches):
             found = pa.array([features(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], names=["id", *names, "f"])
 
@@ -226,7 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         memo = Memo(found.word) if found else None
-        for batch in batches:
+        for batch in small(batches):
             p = np.zeros((batch.num_rows, len(links)))
             flag = np.zeros(batch.num_rows, bool)
             if found:
@@ -248,7 +248,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         memo = Memo(found.word) if found else None
-        for batch in batches:
+        for batch in small(batches):
             keep = found.scores(batch.column(text_at).to_pylist(), memo)[:, -1] < found.threshold if found else np.ones(batch.num_rows, bool)
             yield batch.filter(pa.array(keep))
 
