@@ -73,3 +73,37 @@ def test_partitions_are_checked(spark):
 def test_months_count_whole(spark):
     for start, end, want in (("2024-01", "2024-02", ("2024-01-01", "2024-03-01")), ("2024-01-05", "2024-02-09", ("2024-01-05", "2024-02-09"))):
         assert tuple(map(str, spark.range(1).select(*L.date_range(start, end)).first())) == want
+
+
+def test_splits_are_locked(spark, tmp_path):
+    df = spark.range(30).select(F.col("id").alias("record_id"), (F.col("id") % 3).alias("c"))
+    make = lambda t: sampling.stratified_split(t, "c", "record_id", {"train": 0.7, "test": 0.3})
+    path = str(tmp_path / "split")
+    first = {tuple(r) for r in L.locked_split(df, path, make).collect()}
+    assert {tuple(r) for r in L.locked_split(df, path, lambda t: 1 / 0).collect()} == first and len(first) == 30
+    fewer = df.where("record_id > 4")
+    with pytest.raises(ValueError):
+        L.locked_split(fewer, path, make)
+    assert L.locked_split(fewer, path, make, force=True).count() == 25 and spark.read.parquet(path + ".old").count() == 30
+    with pytest.raises(ValueError):
+        L.locked_split(df, str(tmp_path / "bad"), lambda t: make(t).where("record_id > 0"))
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    from tidewell.operators.vectors import cached_vectors, pooled
+
+    seen = []
+
+    def encode(t):
+        rows = t.collect()
+        seen.append(sorted(r.text for r in rows))
+        return spark.createDataFrame([(r.digest, r.text, [float(len(r.text)), 1.0]) for r in rows], "digest string, text string, vector array<double>")
+
+    path = str(tmp_path / "vectors")
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "k int, t string")
+    assert {r.k: list(r.vector) for r in cached_vectors(df, "k", "t", "m", encode, path).collect()} == {1: [1, 1], 2: [2, 1], 3: [1, 1]}
+    more = df.unionByName(spark.createDataFrame([(5, "ccc")], "k int, t string"))
+    assert cached_vectors(more, "k", "t", "m", encode, path).count() == 4 and seen == [["a", "bb"], ["ccc"]]
+    v = spark.createDataFrame([(1, [[3.0, 0.0], [3.0, 8.0]]), (2, [])], "k int, v array<array<double>>")
+    got = {r.k: (r.m, r.c) for r in v.select("k", pooled(F.col("v")).alias("m"), pooled(F.col("v"), "cls", False).alias("c")).collect()}
+    assert got[1] == ([0.6, 0.8], [3.0, 0.0]) and got[2] == (None, None)

@@ -85,3 +85,66 @@ def test_stream_equals_batch(spark, tmp_path):
     want = rate_cells(shape(e), "week").where("level = 0")
     pick = lambda d: {(r.period, r.source, r.community): (r.n_total, r.n_stress) for r in d.collect()}
     assert pick(got) == pick(want)
+
+
+def workbook(path, rows):
+    """A workbook as a spreadsheet writes it: shared strings, numbers, a gap, an inline string."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    shared, cells = [], []
+    for i, row in enumerate(rows, 1):
+        out = []
+        for j, v in enumerate(row):
+            at = f"{chr(65 + j)}{i}"
+            if v is None:
+                continue
+            if isinstance(v, str) and v.startswith("inline"):
+                out.append(f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>')
+            elif isinstance(v, str):
+                shared.append(v)
+                out.append(f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>')
+            else:
+                out.append(f'<c r="{at}"><v>{v}</v></c>')
+        cells.append(f'<row r="{i}">{"".join(out)}</row>')
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{s[:2]}</t></r><r><t>{s[2:]}</t></r></si>" for s in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(cells)}</sheetData></worksheet>")
+
+
+def test_workbooks(spark, tmp_path):
+    from tidewell.sources.xlsx import read_xlsx
+
+    path = str(tmp_path / "a.xlsx")
+    workbook(path, [["sID", "sentence", "label"], [1, "a text", "x"], [2, None, "inline y"], [3.5, "é &amp; z"]])
+    assert [tuple(r) for r in read_xlsx(spark, path).collect()] == [("1", "a text", "x"), ("2", None, "inline y"), ("3.5", "é & z", None)]
+    with pytest.raises(ValueError):
+        workbook(path, [["a", "a"]])
+        read_xlsx(spark, path)
+
+
+def test_sources_are_ordered(spark, tmp_path):
+    for n in ("b", "a"):
+        (tmp_path / f"{n}.txt").write_text(n)
+    s = adapters.Source([str(tmp_path / "b.txt"), str(tmp_path / "a.txt")], lambda spark, p: spark.read.text(p))
+    assert [(r.value, r.file_order) for r in s.rows(spark).orderBy("file_order").collect()] == [("b", 0), ("a", 1)] and len(s.inputs()) == 2
+    with pytest.raises(FileNotFoundError):
+        adapters.Source([], None)
+    with pytest.raises(FileNotFoundError):
+        adapters.json_lines(spark, [])
+
+
+def test_enriched_types_by_name():
+    got = adapters.schema_from_names(["record_id", "date", "created_at", "inference_ts", "stress_flag", "stressor_none_unclear", "stressor_flag__work", "stressor_top", "n_chunks_stress", "tension_relaxation", "sample_weight", "emotion_p__joy", "stressor_cos__work", "stress_version"])
+    kinds = dict(x.split(" ") for x in got.replace("`", "").split(", "))
+    assert kinds == {"record_id": "string", "date": "date", "created_at": "timestamp", "inference_ts": "timestamp", "stress_flag": "boolean", "stressor_none_unclear": "boolean", "stressor_flag__work": "boolean", "stressor_top": "string", "n_chunks_stress": "int", "tension_relaxation": "double", "sample_weight": "double", "emotion_p__joy": "double", "stressor_cos__work": "double", "stress_version": "string"}
+
+
+def test_manifests_have_digests(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "t"))
+    got = lake.manifest(spark, str(tmp_path / "t"), digests=True).collect()
+    assert len(got) == 3 and sum(r.rows for r in got) == 30
+    assert all(r.sha256 == ledger.file_digest(r.file.split(":", 1)[1].replace("///", "/")) for r in got)

@@ -102,3 +102,28 @@ def test_long_texts_are_chunked_in_proportion():
     start = time.process_time()
     spans = segment.chunk_spans("One two three four. " * 20_000, 64, 16)
     assert len(spans) > 1000 and time.process_time() - start < 20
+
+
+def test_languages_by_frequent_words(spark):
+    texts = ["The cat is on the mat and it was there for a day", "Der Hund ist in dem Haus und nicht auf der Straße", "Le chat est dans la maison et il ne sort pas", "El perro está en la casa y no sale por la noche", "", "xyzzy plugh", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.g for r in df.select("i", T.guess_language(F.col("t")).alias("g")).orderBy("i").collect()] == ["en", "de", "fr", "es", "und", "und", "und"]
+
+
+def test_terms_are_masked(spark):
+    df = spark.createDataFrame([("r/work and Work, homework; night shift/work",)], "t string")
+    text, n = T.mask_terms(F.col("t"), ["work", "night shift"], "[X]")
+    assert tuple(df.select(text, n).first()) == ("[X] and [X], homework; [X]/work", 3)
+
+
+def test_models_that_run_out_of_memory_get_halves():
+    from tidewell.operators.scoring import halved
+
+    def score(texts):
+        if len(texts) > 3:
+            raise MemoryError
+        return [[float(len(t))] for t in texts]
+
+    assert halved(score, ["a" * i for i in range(10)]) == [[float(i)] for i in range(10)]
+    with pytest.raises(MemoryError):
+        halved(lambda _: (_ for _ in ()).throw(MemoryError), ["a"])

@@ -134,13 +134,25 @@ def clean_text(t: Column, passes: int = PASSES, decode: bool = True) -> Column:
 
 
 def scrub_text(t: Column, emails: bool = True, urls: bool = True, mentions: bool = True, phones: bool = True) -> Column:
-    """Placeholders for personal data, each rule switchable; null stays null."""
+    """Placeholders for personal data, each rule switchable; null stays null. Patterns run only on texts that hold what they need."""
+    needs = {pattern: trigger for trigger, steps in STEPS for pattern, _ in steps}
     for on, pattern, token in ((emails, EMAIL, EMAIL_TOKEN), (urls, URL, URL_TOKEN), (mentions, MENTION, USER_TOKEN), (phones, PHONE, PHONE_TOKEN)):
         if on:
-            t = F.regexp_replace(t, _u(pattern), token)
+            t = let(t, lambda x: F.when(x.rlike(needs[pattern]), F.regexp_replace(x, _u(pattern), token)).otherwise(x))  # noqa: B023  it is called at once
     return t
 
 
+def term_pattern(terms: list[str]) -> str:
+    """Whole words, in any case, of any of some terms, longest first; a term also matches with r/ before it."""
+    return r"(?i)(?<![\w/])(?:r/)?(?:" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
+
+
+def mask_terms(t: Column, terms: list[str], token: str = "[MASK]") -> tuple[Column, Column]:
+    """(text with every term replaced by a token, how many were)."""
+    pattern = _u(term_pattern(terms))
+    return F.regexp_replace(t, pattern, token.replace("\\", r"\\").replace("$", r"\$")), F.regexp_count(t, F.lit(pattern))
+
+
 #: Names under which edits are counted, for the patterns of STEPS in order.
 EDITS = ("zero_width", "url_placeholder", "removed_marker", "md_link", "md_rule", "md_heading", "md_quote", "md_bullet", "md_strong", "md_em", "md_em", "md_code", "md_superscript", "md_escape", "email_removed", "url", "mention", "phone_removed")
 EDIT_NAMES = ("html_unescape", *dict.fromkeys(EDITS))
@@ -173,8 +185,13 @@ def edit_counts(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([edits_of(t) for t in text], columns=list(EDIT_NAMES), dtype="int64")
 
 
+#: What the last of BOT_PATTERNS matches, which a text must start with.
+_REMOVED_NOTICES = [f"{a}{b} has been {c}removed" for a in ("your ", "") for b in ("post", "submission") for c in ("automatically ", "")]
+
+
 def is_bot_text(t: Column) -> Column:
-    return t.rlike("(?i)" + "|".join(BOT_PATTERNS))
+    """Any of BOT_PATTERNS in any case, by plain search in the lower-case text."""
+    return let(F.lower(t), lambda x: reduce(lambda a, b: a | b, [*(x.contains(p) for p in BOT_PATTERNS[:3]), *(x.startswith(p) for p in _REMOVED_NOTICES)]))
 
 
 def token_estimate(t: Column) -> Column:

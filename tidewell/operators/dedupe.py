@@ -154,3 +154,10 @@ def new_texts(df: DataFrame, seen: DataFrame | None, key: Column, order: list[Co
         fresh = fresh.join(seen.withColumnRenamed("key", "__k"), "__k", "left_anti")
     keys = fresh.select(F.col("__k").alias("key"))
     return fresh.drop("__k"), keys if seen is None else seen.unionByName(keys)
+
+
+def compare_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, merge): left_only, right_only or both, for each key of two tables."""
+    own = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    t = own(a, "l").join(own(b, "r"), key, "full_outer")
+    return t.select(key, F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").otherwise("both").alias("merge"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +11,7 @@ from tidewell.functions import text as T
 from tidewell.functions.stats import short_hash
 from tidewell.operators import dedupe, sampling
 from tidewell.operators.quality import check_records
+from tidewell.sources.scratch import exists
 
 #: Columns that every record has, in order; those of a data set follow.
 UNIFIED = ("record_id", "source", "community", "created_at", "text_clean", "lang", "n_chars", "n_tokens_est")
@@ -131,6 +133,23 @@ def attach_split(df: DataFrame, splits: DataFrame) -> DataFrame:
     return df.join(splits.select("record_id", "split"), "record_id", "left")
 
 
+def locked_split(df: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], force: bool = False, key: str = "record_id") -> DataFrame:
+    """The split (key, split) that lies at path, if it was made for the same keys; it is made and written where there is none. Other keys are an error, unless a new one is forced: then the old one stays beside it. No keys come to the driver."""
+    spark = df.sparkSession
+    mark = dedupe.set_fingerprint(df, key).first()["fingerprint"]
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        if old.select("fingerprint").first()[0] == mark and not force:
+            return old.select(key, "split")
+        if not force:
+            raise ValueError("the split was made for other records")
+        old.write.mode("overwrite").parquet(f"{path.rstrip('/')}.old")
+    new = make(df).select(key, "split").withColumn("fingerprint", F.lit(mark))
+    sampling.check_partition(df, new, key)
+    new.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).select(key, "split")
+
+
 def high_confidence(df: DataFrame, column: str = "confidence", least: float = 0.8) -> DataFrame:
     return df.where(F.col(column) >= least)
 

@@ -100,6 +100,12 @@ def check_publishable(df: DataFrame, k_min: int, counts: list[str]) -> None:
         raise ValueError(f"columns with counts below {k_min}: {low}")
 
 
+def length_relation(df: DataFrame, a, b) -> DataFrame:
+    """(pearson, median_ratio) of two measures of the same rows."""
+    t = df.select(a.cast("double").alias("a"), b.cast("double").alias("b"))
+    return t.agg(F.corr("a", "b").alias("pearson"), F.median(F.try_divide("a", "b")).alias("median_ratio"))
+
+
 def tabular_audit(df: DataFrame) -> DataFrame:
     """(column, type, n_null, n_unique, min, max, mean_chars), in one pass; min and max of numbers, mean_chars of strings."""
     numeric = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}

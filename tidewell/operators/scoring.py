@@ -112,6 +112,17 @@ class Scorer:
         raise NotImplementedError
 
 
+def halved(score: Callable[[list[str]], list[list[float]]], texts: list[str]) -> list[list[float]]:
+    """Scores of texts in as few calls as memory allows: where a call runs out of it, its texts go in two halves. A single text that is too much is an error."""
+    try:
+        return score(texts)
+    except MemoryError:
+        if len(texts) < 2:
+            raise
+        mid = len(texts) // 2
+        return [*halved(score, texts[:mid]), *halved(score, texts[mid:])]
+
+
 def run_scorer(df: DataFrame, text: str, scorer: Scorer, prefix: str) -> DataFrame:
     """df with a column for each score; null where the text is null. Texts go to the model in order of length, so that batches are even."""
     schema = StructType([*df.schema.fields, *(StructField(prefix + n, DoubleType()) for n in scorer.names)])
@@ -121,7 +132,7 @@ def run_scorer(df: DataFrame, text: str, scorer: Scorer, prefix: str) -> DataFra
         for b in batches:
             ok = b[text].notna()
             order = b.loc[ok, text].str.len().sort_values(kind="stable").index
-            got = pd.DataFrame(scorer.score(b.loc[order, text].tolist()), index=order, columns=[prefix + n for n in scorer.names]) if len(order) else pd.DataFrame(columns=[prefix + n for n in scorer.names])
+            got = pd.DataFrame(halved(scorer.score, b.loc[order, text].tolist()), index=order, columns=[prefix + n for n in scorer.names]) if len(order) else pd.DataFrame(columns=[prefix + n for n in scorer.names])
             yield b.join(got.reindex(b.index).astype(float))
 
     return df.mapInPandas(run, schema)

@@ -92,3 +92,11 @@ def rule_states(spark, sf_dir):
     from tidewell.operators.metrics import rule_states as states
 
     return states(table(spark, sf_dir, "events").select(F.col("event_type").alias("level"), F.when(F.col("event_id") % 3 > 0, F.col("value") >= 50).alias("met")))
+
+
+@query("pooled_vectors", "WITH e AS (SELECT label, [CAST(avg(embedding[1]) AS DOUBLE), CAST(avg(embedding[2]) AS DOUBLE)] AS m, count(*) AS n FROM embeddings GROUP BY label) SELECT label, round(m[1] / sqrt(m[1] * m[1] + m[2] * m[2]), 5) AS a, round(m[2] / sqrt(m[1] * m[1] + m[2] * m[2]), 5) AS b FROM e")
+def pooled_vectors(spark, sf_dir):
+    from tidewell.operators.vectors import pooled
+
+    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list(F.slice("embedding", 1, 2)).alias("v"))
+    return rounded(e.select("label", pooled(F.col("v")).alias("p")).select("label", F.col("p")[0].alias("a"), F.col("p")[1].alias("b")), 5)

@@ -114,7 +114,41 @@ def keyword_two_stage(spark, sf_dir):
 def lda_topics(spark, sf_dir):
     from tidewell.operators.models import lda_keywords
 
-    return lda_keywords(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "text", 4)
+    return lda_keywords(table(spark, sf_dir, "documents"), "doc_id", "text", 4)
+
+
+@query("lda_assign")
+def lda_assign(spark, sf_dir):
+    from tidewell.operators.models import lda_assign as assign
+
+    return assign(table(spark, sf_dir, "documents"), "doc_id", "text", 4)
+
+
+@query("cluster_topics")
+def cluster_topics(spark, sf_dir):
+    from tidewell.operators.models import cluster_topics as cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+
+
+@query("embedding_classifier")
+def embedding_classifier(spark, sf_dir):
+    from tidewell.operators.models import embedding_classifier as classifier
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, sf_dir, "embeddings")
+    model = classifier(e.where("vec_id % 5 > 0"), "embedding", "label")
+    test = e.where("vec_id % 5 = 0").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    return model.transform(test).select("vec_id", F.col("prediction").cast("int").alias("predicted"), "label")
+
+
+@query("tfidf_classifier")
+def tfidf_classifier(spark, sf_dir):
+    from tidewell.operators.models import best_tfidf_classifier, with_ngrams
+
+    t = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").alias("y"))
+    model, _, _ = best_tfidf_classifier(t.where("doc_id % 5 > 1"), t.where("doc_id % 5 = 1"), "text", "y", (0.1, 10.0), 1 << 14)
+    return model.transform(with_ngrams(t.where("doc_id % 5 = 0"), "text")).select("doc_id", "y", F.col("prediction").cast("int").alias("predicted"))
 
 
 @query("topic_terms", "WITH w AS (SELECT lang, unnest(list_filter(string_split_regex(lower(text), '[^a-zà-ÿ]+'), lambda x: length(x) > 2)) AS term FROM documents), t AS (SELECT lang, term, count(*) AS tf FROM w GROUP BY ALL), c AS (SELECT term, sum(tf) AS f FROM t GROUP BY term), a AS (SELECT sum(tf) / CAST(count(DISTINCT lang) AS DOUBLE) AS avg FROM t), n AS (SELECT lang, sum(tf) AS n FROM t GROUP BY lang), s AS (SELECT lang, term, tf / CAST(n AS DOUBLE) * ln(1 + avg / f) AS w FROM t JOIN c USING (term) JOIN n USING (lang), a) SELECT lang, term, round(w, 6) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(w, 10) DESC, term) <= 5")

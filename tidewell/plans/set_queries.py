@@ -98,8 +98,7 @@ def set_fingerprint(spark, sf_dir):
 
 @query("id_compare", "SELECT CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS merge, count(*) AS n FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
 def id_compare(spark, sf_dir):
-    d, lab = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("d")), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))
-    return d.join(lab, "doc_id", "full_outer").select(F.when(F.col("l").isNull(), "left_only").when(F.col("d").isNull(), "right_only").otherwise("both").alias("merge")).groupBy("merge").agg(F.count("*").alias("n"))
+    return dedupe.compare_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").groupBy("merge").agg(F.count("*").alias("n"))
 
 
 @query("unlabelled", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -259,8 +258,7 @@ def labels_per_row(spark, sf_dir):
 
 @query("length_correlation", "SELECT round(corr(n_chars, len(string_split(text, ' '))), 8) AS pearson, round(quantile_cont(CAST(n_chars AS DOUBLE) / len(string_split(text, ' ')), 0.5), 8) AS median_ratio FROM documents")
 def length_correlation(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select(F.col("n_chars").cast("double").alias("c"), F.size(F.split("text", " ")).cast("double").alias("w"))
-    return rounded(t.agg(F.corr("c", "w").alias("pearson"), F.median(F.col("c") / F.col("w")).alias("median_ratio")))
+    return rounded(quality.length_relation(table(spark, sf_dir, "documents"), F.col("n_chars"), F.size(F.split("text", " "))))
 
 
 @query("lake_manifest", "SELECT event_type AS source, year(ts) AS year, month(ts) AS month, count(*) AS rows FROM events GROUP BY ALL")

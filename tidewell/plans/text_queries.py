@@ -87,10 +87,13 @@ def bot_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(T.is_bot_text(F.col("text"))).agg(F.count("*").alias("n_bot"))
 
 
-@query("mask_terms", r"SELECT doc_id, regexp_replace(text, '(?i)\b(token|idiot)\b', '[TOPIC]', 'g') AS text, len(regexp_extract_all(text, '(?i)\b(token|idiot)\b')) AS n_masked FROM documents")
+_TERMS = r"(^|[^\p{L}\p{N}\p{M}_/])((?:r/)?(?:token|idiot))($|[^\p{L}\p{N}\p{M}_])"
+
+
+@query("mask_terms", f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '(?i)([^\\p{{L}}\\p{{N}}\\p{{M}}_])', '\\1\\1', 'g'), '(?i){_TERMS}')) AS n_masked FROM documents")
 def mask_terms(spark, sf_dir):
-    p = r"(?i)\b(token|idiot)\b"
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", p, "[TOPIC]").alias("text"), F.regexp_count("text", F.lit(p)).cast("bigint").alias("n_masked"))
+    _, n = T.mask_terms(F.col("text"), ["idiot", "token"])
+    return table(spark, sf_dir, "documents").select("doc_id", n.cast("bigint").alias("n_masked"))
 
 
 @query("lexical_tokens")

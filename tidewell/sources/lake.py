@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType, TimestampType
 
 from tidewell.operators.quality import check_publishable
 
@@ -86,8 +86,10 @@ def read_markers(markers: str) -> dict[str, dict]:
 
 
 def load_enriched(spark: SparkSession, path: str, columns: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
-    """Scored records with chosen columns and families."""
-    t = spark.read.parquet(path)
+    """Scored records with chosen columns and families. The columns of folders are a string and a date, whatever their values look like."""
+    kinds = {"source": StringType(), "date": DateType()}
+    seen = spark.read.parquet(path).schema
+    t = spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in seen])).parquet(path)
     want = [c for c in t.columns if columns is None or c in columns or c.startswith(tuple(prefixes) or ("\0",))]
     return t.where(F.col("input_status").isin(*SCORED)).select(*want)
 
@@ -98,7 +100,12 @@ def write_gold(df: DataFrame, path: str, k_min: int, counts: list[str] = ()) ->
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, bytes) of a Parquet folder."""
+def manifest(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """(file, rows, bytes) of a Parquet folder, and if asked for sha256, read where the files are."""
     t = spark.read.parquet(path)
-    return t.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    out = t.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    if not digests:
+        return out
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return out.join(files.select(name("path").alias("k"), F.sha2("content", 256).alias("sha256")), name("file") == F.col("k")).drop("k")
