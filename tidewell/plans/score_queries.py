@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import rounded
 from tidewell.operators import scoring
 from tidewell.plans.registry import query, table
+from tidewell.plans.set_queries import _U
 from tidewell.plans.views import RECORDS_SQL, records
 
 NORM = "list_transform({v}, lambda x: CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST({v} AS DOUBLE[]), CAST({v} AS DOUBLE[]))))"
@@ -101,7 +102,16 @@ def parity_diff(spark, sf_dir):
     return rounded(scoring.parity(a, b, "event_id"))
 
 
-@query("keyword_two_stage")
+_SEP = r"[^\p{L}\p{N}\p{M}_]"
+_times = lambda w: f"CAST(len(regexp_extract_all(t, '(?i)(^|{_SEP}){w}($|{_SEP})')) AS DOUBLE)"
+
+
+@query(
+    "keyword_two_stage",
+    f"""WITH d AS (SELECT doc_id, regexp_replace(text, '({_SEP})', '\\1\\1', 'g') AS t, sha256('42:' || doc_id) AS h FROM documents), s AS (SELECT doc_id, t, {_times('the')} AS stage1__the, {_U} AS u FROM d),
+    f AS (SELECT *, stage1__the > 5 AS stress_flag, stage1__the > 5 OR u < 0.15e0 AS on2 FROM s)
+    SELECT doc_id, stage1__the, stress_flag, on2 AS second_stage_scored, CASE WHEN stress_flag THEN 1.0e0 WHEN on2 THEN 1.0e0 / 0.15e0 END AS sample_weight, CASE WHEN on2 THEN {_times('and')} END AS stage2__and, CASE WHEN on2 THEN {_times('of')} END AS stage2__of FROM f""",
+)
 def keyword_two_stage(spark, sf_dir):
     from tidewell.operators.models import WordScorer
 

@@ -96,7 +96,14 @@ def mask_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.cast("bigint").alias("n_masked"))
 
 
-@query("lexical_tokens")
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(
+    "lexical_tokens",
+    f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(lower(regexp_replace(text, '<(?:URL|USER|EMAIL|PHONE)>', ' ', 'g')), '’', chr(39)), '[a-z]+(?:' || chr(39) || '[a-z]+)*'), lambda x: replace(x, chr(39), '')) AS w FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x: length(x) >= 2 AND x NOT IN ({_STOP})), lambda x: CASE WHEN length(x) > 3 AND regexp_matches(x, '[^s]s$') THEN x[1:length(x) - 1] ELSE x END), ' ') AS text_lexical FROM w""",
+)
 def lexical_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("text_lexical"))
 
