@@ -28,6 +28,8 @@ from tidewell.llm.common import Memo, small
 
 PER_CLASS, FOLDS, MOST_FEATURES, L1, STEPS = 1500, 5, 2048, 2e-4, 150
 PREFIXES = (3, 4, 6)
+#: What features of words leave out anyway: off before words are looked up, fewer are different.
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 LEVELS = (1, 2, 4)
 #: Label columns in the order of the chain; the last decides.
 LINKS = ("quality", "toxic")
@@ -41,9 +43,17 @@ def word_features(raw: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in (word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)))
 
 
+_STEP, _BACK = 2654435761, pow(2654435761, -1, 1 << 32)
+
+
 def at_least(h: int, n: int) -> int:
     """The feature of n or more different words that share a feature."""
-    return h if n == 1 else (h * 2654435761 + n * 40503) & 0xFFFFFFFF
+    return h if n == 1 else (h * _STEP + n * 40503) & 0xFFFFFFFF
+
+
+def base(h: int, n: int) -> int:
+    """The feature whose at_least(., n) is h."""
+    return h if n == 1 else (h - n * 40503) * _BACK & 0xFFFFFFFF
 
 
 def features(text: str, memo: Memo) -> np.ndarray:
@@ -123,42 +133,33 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tupl
 
 
 class Chain:
-    """Links for scoring. Words are looked up once and cached; the weights of a batch of texts are summed as arrays."""
+    """Links for scoring. The weights of each feature at all levels are one row of a table; words are looked up once and cached, and the rows of a batch of texts are summed as arrays."""
 
     def __init__(self, links: list[Link], threshold: float):
         self.n, self.threshold = len(links), threshold
         self.bias, self.before = np.array([k.bias for k in links]), [k.before for k in links]
-        by_feature: dict[int, np.ndarray] = {}
+        weight: dict[int, np.ndarray] = {}
         for c, link in enumerate(links):
             for h, w in zip(link.known.tolist(), link.weights, strict=True):
                 if w:
-                    by_feature.setdefault(h, np.zeros(self.n))[c] = w
-        self.by_feature = by_feature
-        self.place: dict[int, int] = {}  # of features with weight at some level
-        self.weights = np.zeros((0, len(LEVELS), self.n))
-
-    def _place(self, h: int) -> int:
-        """The row of a feature in the table of weights, or -1 if it has none."""
-        if (at := self.place.get(h)) is None:
-            own = [self.by_feature.get(at_least(h, n)) for n in LEVELS]
-            at = -1
-            if any(w is not None for w in own):
-                at = len(self.weights)
-                self.weights = np.append(self.weights, [[np.zeros(self.n) if w is None else w for w in own]], 0)
-                self.place[h] = at  # as many as there are features with weight
-        return at
+                    weight.setdefault(h, np.zeros(self.n))[c] = w
+        # a weight may belong to a feature at any level
+        features_ = sorted({base(h, n) for h in weight for n in LEVELS})
+        self.place = {h: i for i, h in enumerate(features_)}
+        none = np.zeros(self.n)
+        self.weights = np.array([[weight.get(at_least(h, n), none) for n in LEVELS] for h in features_]).reshape(-1, len(LEVELS), self.n)
 
     def word(self, raw: str) -> tuple[int, ...]:
         """The word's hash, and the places of those of its features that have weight at some level; nothing if none has."""
         own = word_features(raw)
-        heavy = tuple(at for h in own if (at := self._place(h)) >= 0)
+        heavy = tuple(self.place[h] for h in own if h in self.place)
         return (own[0], *heavy) if heavy else ()
 
     def scores(self, texts: list[str | None], memo: Memo) -> np.ndarray:
         """A row of probabilities for each text; zeros for those without any character."""
         sizes, found = [], []
         for text in texts:
-            own = list(chain.from_iterable(w[1:] for w in set(map(memo.__getitem__, set(text.split()))))) if text else []
+            own = list(chain.from_iterable(w[1:] for w in set(map(memo.__getitem__, {w.strip(EDGES) for w in set(text.split())})))) if text else []
             sizes.append(len(own))
             found.append(own)
         z = np.tile(self.bias, (len(texts), 1))
