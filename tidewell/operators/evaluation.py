@@ -162,7 +162,7 @@ def tune_thresholds(long: DataFrame, least_positive: int = 5, most_prevalent: fl
 def evaluate_split(long: DataFrame, thresholds: DataFrame, none: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row (for each value of `by`) of (id, label, y, s) at (label, threshold, coverage): macro F1 over all labels, those with positive rows, and those of each coverage; precision, recall and F1 of `no label` against (id, is_none); labels a row."""
     by = list(by)
-    t = long.join(F.broadcast(thresholds.select("label", "threshold", "coverage")), "label").withColumn("hit", F.coalesce(F.col("s") >= F.col("threshold"), F.lit(False)))  # a row for each label
+    t = long.join(thresholds.select("label", "threshold", "coverage"), "label").withColumn("hit", F.coalesce(F.col("s") >= F.col("threshold"), F.lit(False)))
     cells = M.from_confusion(t.groupBy(*by, "label", "coverage").agg(*(c.alias(k) for k, c in M.confusion(F.col("hit"), F.col("y")).items())))
     supported = F.col("tp") + F.col("fn") > 0
     labels = cells.groupBy(F.lit(1).alias("one"), *by).agg(F.avg("f1").alias("f1_macro"), F.avg(F.when(supported, F.col("f1"))).alias("f1_macro_supported"), *(F.avg(F.when(supported & (F.col("coverage") == c), F.col("f1"))).alias(f"f1_macro_{c}") for c in ("supervised", "zero_shot")))
@@ -198,9 +198,8 @@ def aggregation_sensitivity(windows: DataFrame, labels: DataFrame, least_positiv
 def multiclass_report(long: DataFrame, merged: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per class: label, support, tp, fp, fn, precision, recall, f1; confusion: y, predicted, n; summary: n, accuracy, f1_macro, top_label_ece) of (id, label, p, y), y the true label of the row. With (label, category) scores are summed by category first, and rows keep the category of their label."""
     if merged is not None:
-        m = F.broadcast(merged)  # a row for each label
-        long = long.join(m, "label").groupBy("id", F.col("category").alias("label"), "y").agg(F.sum("p").alias("p"))
-        long = long.join(F.broadcast(merged.select(F.col("label").alias("y"), F.col("category").alias("true"))), "y").select("id", "label", "p", F.col("true").alias("y"))
+        long = long.join(merged, "label").groupBy("id", F.col("category").alias("label"), "y").agg(F.sum("p").alias("p"))
+        long = long.join(merged.select(F.col("label").alias("y"), F.col("category").alias("true")), "y").select("id", "label", "p", F.col("true").alias("y"))
     best = long.groupBy("id", "y").agg(F.max(F.struct(F.round("p", 12).alias("p"), F.col("label"))).alias("b")).select("id", "y", F.col("b.label").alias("predicted"), F.col("b.p").alias("p"))
     confusion = best.groupBy("y", "predicted").agg(F.count("*").alias("n"))
     names = long.select("label").distinct()
@@ -244,7 +243,7 @@ def masking_summary(runs: DataFrame, names: list[str]) -> DataFrame:
     long = runs.select("condition", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names))).alias("x")).select("condition", "x.*")
     at = lambda c: F.max(F.when(F.col("condition") == c, F.col("v")))
     base = long.groupBy("metric").agg(at("original").alias("original"), at("topic_masked").alias("topic"))
-    control = long.where("condition = 'control'").join(F.broadcast(base), "metric").withColumn("d", F.col("original") - F.col("v"))  # a row for each metric
+    control = long.where("condition = 'control'").join(base, "metric").withColumn("d", F.col("original") - F.col("v"))
     t = control.groupBy("metric").agg(F.avg("d").alias("drop_control_mean"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("drop_control_sd"), F.min("d").alias("drop_control_min"), F.max("d").alias("drop_control_max"), F.count("*").alias("n_draws"))
     drop = F.col("original") - F.col("topic")
     return base.join(t, "metric").select("metric", "original", drop.alias("drop_topic"), "drop_control_mean", "drop_control_sd", "drop_control_min", "drop_control_max", "n_draws", (F.round(drop, 12) > F.round("drop_control_max", 12)).alias("exceeds"))
@@ -294,7 +293,7 @@ def calibrated_report(validation: DataFrame, test: DataFrame, margin: str, y: st
 
 def group_report(long: DataFrame, members: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Labels (id, label, y, p) seen as groups (label, grp): the probability of a group is the greatest of its labels', it is predicted if any of them reaches its threshold and holds if any of them does. (grp, support, precision, recall, f1, mean_p, observed_rate, predicted_rate)."""
-    t = long.join(F.broadcast(members), "label").join(F.broadcast(thresholds), "label")  # a row for each label
+    t = long.join(members, "label").join(thresholds, "label")
     rows = t.groupBy("id", "grp").agg(F.max(F.col("y").cast("int")).alias("y"), F.max("p").alias("p"), F.max(F.col("p") >= F.col("threshold")).alias("hit"))
     cells = rows.groupBy("grp").agg(F.sum("y").alias("support"), *(c.alias(k) for k, c in M.confusion(F.col("hit"), F.col("y")).items()), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("observed_rate"), F.avg(F.col("hit").cast("double")).alias("predicted_rate"))
     return M.from_confusion(cells).select("grp", "support", "precision", "recall", "f1", "mean_p", "observed_rate", "predicted_rate")

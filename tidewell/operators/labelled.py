@@ -204,7 +204,7 @@ def gold_sample(df: DataFrame, total: int, floor: int, post: str = "post_id", st
     u = short_hash(F.col("record_id"), str(seed))
     one = dedupe.keep_first(df.withColumn("u", u), F.col(post), [F.col("u"), F.col("record_id")])
     wanted = sampling.largest_remainder(one.groupBy(F.col(stratum).alias("name")).agg(F.count("*").alias("size")), "name", "size", total, floor)
-    drawn = sampling.per_cell(one.drop("u"), [stratum], "record_id", total, seed).join(F.broadcast(wanted.select(F.col("name").alias(stratum), "n_drawn")), stratum)  # a row for each stratum
+    drawn = sampling.per_cell(one.drop("u"), [stratum], "record_id", total, seed).join(wanted.select(F.col("name").alias(stratum), "n_drawn"), stratum)
     drawn = drawn.where(F.col("rank") <= F.col("n_drawn"))
     half = F.when(F.col("rank") <= F.round(F.col("n_drawn") * dev), "dev").otherwise("test")
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("u", "record_id"))  # `total` rows

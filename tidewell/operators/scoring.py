@@ -72,12 +72,12 @@ def noisy_or(labels: list[str]) -> Column:
 
 def merge_classes(long: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     """Class probabilities summed to categories by a (class, category) map; classes without one are left out."""
-    return long.join(F.broadcast(mapping), "class").where(F.col("category").isNotNull()).groupBy(key, "category").agg(F.sum("p").alias("p"))  # a row for each class
+    return long.join(mapping, "class").where(F.col("category").isNotNull()).groupBy(key, "category").agg(F.sum("p").alias("p"))
 
 
 def flags_and_top(long: DataFrame, key: str, thresholds: DataFrame) -> DataFrame:
     """Flags by category threshold, and the flagged category with the greatest margin (none_unclear if none)."""
-    t = long.join(F.broadcast(thresholds), "category").withColumn("margin", F.round(F.col("p") - F.col("threshold"), 12))  # a row for each category
+    t = long.join(thresholds, "category").withColumn("margin", F.round(F.col("p") - F.col("threshold"), 12))
     hit = F.col("margin") >= 0
     # of equal margins the first name wins: a hash-free key that orders names downwards
     best = F.min(F.when(hit, F.struct((-F.col("margin")).alias("m"), F.col("category").alias("category"))))
