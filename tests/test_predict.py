@@ -132,3 +132,34 @@ def test_a_clear_gain_is_applied(spark):
     g = E.paired_gain(draws, "f1", "new", "half")
     assert g.first().gain == 1 and E.decide_threshold(g, 0.3, 0.01).first().applied == 0.3 and E.decide_threshold(g, 0.3, 2.0).first().applied == 0.5
     assert E.decide_threshold(g, 0.5, 0.01).first().applied == 0.5
+
+
+def test_calibration_by_label_and_final_report(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(3000):
+        for label, a, b in (("x", 0.5, 1.0), ("y", 2.0, -1.0)):
+            z = r.gauss(0, 2)
+            rows.append((i, label, int(r.random() < 1 / (1 + math.exp(-(a * z + b)))), z))
+    long = spark.createDataFrame(rows, "id long, label string, y int, z double")
+    got = E.fit_platt_by_label(long)
+    assert got["x"] == pytest.approx((0.5, 1.0), abs=0.12) and got["y"] == pytest.approx((2.0, -1.0), abs=0.3)
+    report, thresholds = E.multilabel_final(long.where("id % 2 = 0"), long.where("id % 2 = 1"), long.where("id < 100"))
+    by = {x.way: x for x in report.collect()}
+    assert set(by) == {"tuned", "half", "raw_half", "tuned_without_excluded"} and by["tuned"].f1_macro > 0.75 and by["tuned"].f1_macro >= by["raw_half"].f1_macro - 0.02
+    assert thresholds.count() == 2
+
+
+def test_temperature_and_platt_find_what_was_done(spark):
+    import math
+    import random
+
+    from tidewell.operators import metrics as M
+
+    r = random.Random(5)
+    rows = [(z := r.gauss(0, 2), int(r.random() < 1 / (1 + math.exp(-z / 2)))) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "z double, y int")
+    assert M.fit_temperature(df, "z", "y") == pytest.approx(2, rel=0.2) and M.fit_platt(df, "z", "y") == pytest.approx((0.5, 0), abs=0.1)

@@ -342,3 +342,40 @@ def handcheck_score(df: DataFrame, file: str, auto: str, human: str) -> DataFram
 def text_predicate_share(df: DataFrame, column: Column, thresholds: list[int]) -> DataFrame:
     """(over, share) of rows whose length is over each threshold."""
     return df.agg(F.array(*(F.struct(F.lit(t).alias("over"), F.avg((column > t).cast("double")).alias("share")) for t in thresholds)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def fit_platt_by_label(long: DataFrame, steps: int = 12) -> dict[str, tuple[float, float]]:
+    """{label: (a, b)} of sigmoid(a * z + b) for (label, y, z) with smoothed targets. All labels take a Newton step with one aggregate; a stays positive."""
+    n = {r["label"]: (r["pos"], r["n"] - r["pos"]) for r in long.groupBy("label").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n")).collect()}  # a row for each label
+    params = dict.fromkeys(n, (1.0, 0.0))
+    spark = long.sparkSession
+    for _ in range(steps):
+        now = spark.createDataFrame([(k, a, b, (n[k][0] + 1) / (n[k][0] + 2), 1 / (n[k][1] + 2)) for k, (a, b) in params.items()], "label string, a double, b double, hi double, lo double")
+        t = long.join(now, "label").withColumn("p", 1 / (1 + F.exp(-(F.col("a") * F.col("z") + F.col("b")))))
+        gap, w = F.col("p") - F.when(F.col("y").cast("int") == 1, F.col("hi")).otherwise(F.col("lo")), F.col("p") * (1 - F.col("p"))
+        sums = t.groupBy("label").agg(F.sum(gap * F.col("z")).alias("ga"), F.sum(gap).alias("gb"), F.sum(w * F.col("z") * F.col("z")).alias("aa"), F.sum(w * F.col("z")).alias("ab"), F.sum(w).alias("bb")).collect()
+        for r in sums:
+            a, b = params[r["label"]]
+            aa, bb = r["aa"] + 1e-9, r["bb"] + 1e-9
+            if (det := aa * bb - r["ab"] ** 2) > 0:
+                params[r["label"]] = (max(1e-6, a - (bb * r["ga"] - r["ab"] * r["gb"]) / det), b - (aa * r["gb"] - r["ab"] * r["ga"]) / det)
+    return params
+
+
+def multilabel_final(validation: DataFrame, test: DataFrame, excluded: DataFrame | None = None, least_positive: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(summary by way: `tuned`, `half`, `raw_half`, and `tuned_without_excluded` where rows to leave out are given; thresholds by label) of (id, label, y, z): logits calibrated by label and thresholds tuned on the validation rows, and the test rows once with each. A label with too few positive rows keeps 0.5."""
+    params = fit_platt_by_label(validation)
+    table = validation.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in params.items()], "label string, a double, b double")
+    calibrated = lambda df: df.join(table, "label").withColumns({"p": 1 / (1 + F.exp(-(F.col("a") * F.col("z") + F.col("b")))), "raw": 1 / (1 + F.exp(-F.col("z")))}).drop("a", "b")
+    own, held = calibrated(validation), calibrated(test)
+    thresholds = tune_thresholds(own.select("id", "label", F.lit("probability").alias("kind"), "y", F.col("p").alias("s")), least_positive)
+    at = held.join(thresholds.select("label", "applied"), "label")
+
+    def summary(way: str, df: DataFrame, score: str, threshold: Column) -> DataFrame:
+        shifted = df.select("id", "label", "y", (F.col(score) - threshold).alias("p"))  # above 0 is above its threshold
+        return M.multilabel_summary(shifted, 0.0).select(F.lit(way).alias("way"), "f1_macro", "f1_micro", "precision_macro", "recall_macro", "subset_accuracy", "hamming_loss")
+
+    parts = [summary("tuned", at, "p", F.col("applied")), summary("half", at, "p", F.lit(0.5)), summary("raw_half", at, "raw", F.lit(0.5))]
+    if excluded is not None:
+        parts.append(summary("tuned_without_excluded", at.join(excluded.select("id").distinct(), "id", "left_anti"), "p", F.col("applied")))
+    return reduce(DataFrame.unionByName, parts), thresholds

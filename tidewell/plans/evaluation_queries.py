@@ -321,3 +321,10 @@ def length_shares(spark, sf_dir):
 def calibrated_report(spark, sf_dir):
     t = predictions(spark, sf_dir).withColumn("margin", F.col("p") * 6 - 3)
     return rounded(E.calibrated_report(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1"), "margin", "y", "source", replicates=B))
+
+
+@query("multilabel_final")
+def multilabel_final(spark, sf_dir):
+    long = _long(spark, sf_dir).withColumn("z", F.col("p") * 6 - 3)
+    report, _ = E.multilabel_final(long.where("id % 2 = 0"), long.where("id % 2 = 1"), long.where("id % 7 = 0"))
+    return rounded(report)
