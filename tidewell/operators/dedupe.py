@@ -84,9 +84,11 @@ def _similar_sets(sets: DataFrame, first: DataFrame, threshold: float) -> DataFr
     """
     reps = sets.join(first, ["k", "id"], "left_semi").dropDuplicates(["k"]).withColumn("n", F.size("s"))
     long = reps.select("id", "n", F.explode("s").alias("g"))
-    df_ = long.groupBy("g").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = long.join(df_, "g").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1))
+    # shingles of one text only come first in every prefix and are never joined: they are only counted
+    shared = long.join(long.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    own = Window.partitionBy("id")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "g"))
+    prefix = shared.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
     a, b = (prefix.select("g", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("r").alias(f"r_{c}")) for c in "ab")
     # what follows the common shingle in both texts must still reach the similarity
     follow = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
