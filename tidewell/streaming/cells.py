@@ -18,6 +18,23 @@ def first_copies(stream: DataFrame, ts: str = "created_at", text: str = "text_cl
     return stream.withColumn("dedupe_key", dedupe_key(F.col(text))).withWatermark(ts, late).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
+def run_to_table(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a query over what is there and returns what it wrote, as a table in the shared folder: all batches, or in complete mode the last one. Nothing is held by the driver; a batch that is tried again replaces what it had written."""
+    from uuid import uuid4
+
+    from tidewell.sources.scratch import shared_dir
+
+    spark: SparkSession = out.sparkSession
+    at = f"{shared_dir(spark)}/stream-{name}-{uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
+
+    q = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows").select(*out.columns)
+
+
 def run_once(out: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a query over what is there and returns its result from a table in memory; for backfills and tests."""
     spark: SparkSession = out.sparkSession
