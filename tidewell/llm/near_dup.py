@@ -329,6 +329,8 @@ def labels_and_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         met = left.join(right, (left["kmer"] == right["kmer"]) & in_order & (F.col("label_a") != F.col("label_b")) & short & follow & _may_be_similar() & first)
         last = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = extended(labels, cut(_verified(last, sequences), "verified"))
+        discard(found, open_groups)
+    discard(members, pairs, sequences, links, rest)
     return labels, rows.select("id", "key"), texts.select("key", F.col("id").alias("node"))
 
 
