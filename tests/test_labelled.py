@@ -58,7 +58,7 @@ def test_sheets(spark):
     df = spark.createDataFrame([("g1", " X", "", ""), ("g2", "0", "maybe", "1"), ("g3", "yes", "1.0", "y"), ("g4", None, None, None)], "id string, a string, b string, none string")
     got = {r.id: r for r in L.sheet_labels(df, "id", ["a", "b"], "none").collect()}
     assert got["g1"].a == 1 and got["g1"].annotated and not got["g1"].problems
-    assert got["g2"].problems == ["b=maybe"] and got["g2"].none == 1 and got["g3"].problems == ["none together with a category"] and not got["g4"].annotated
+    assert got["g2"].problems == ["b=maybe"] and got["g2"].none == 1 and got["g3"].problems == ["none beside a category"] and not got["g4"].annotated
 
 
 def test_partitions_are_checked(spark):

@@ -243,7 +243,7 @@ def sheet_labels(df: DataFrame, key: str, categories: list[str], none: str) -> D
     columns = [*categories, none]
     t = df.select(key, *(value(c).isin(*one).cast("int").alias(c) for c in columns), F.filter(F.array(*(F.when(~value(c).isin(*one, *zero), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns)), lambda x: x.isNotNull()).alias("odd"))
     total = reduce(lambda a, b: a + b, (F.col(c) for c in categories))
-    clash = F.when((F.col(none) == 1) & (total > 0), F.array(F.lit(f"{none} together with a category"))).otherwise(F.array().cast("array<string>"))
+    clash = F.when((F.col(none) == 1) & (total > 0), F.array(F.lit(f"{none} beside a category"))).otherwise(F.array().cast("array<string>"))
     return t.select(key, *columns, (total + F.col(none) > 0).alias("annotated"), F.concat("odd", clash).alias("problems"))
 
 
