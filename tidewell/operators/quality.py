@@ -100,6 +100,19 @@ def check_publishable(df: DataFrame, k_min: int, counts: list[str]) -> None:
         raise ValueError(f"columns with counts below {k_min}: {low}")
 
 
+def length_stats(df: DataFrame, key: str, text: str, thresholds: tuple[int, ...], sample: int, seed: int = 42) -> DataFrame:
+    """(measure, n, mean, std, min, max, percentiles, over_<threshold>): lengths in characters of all texts, and in tokens of a hash sample with the share over each threshold (null for characters)."""
+    from tidewell.functions.text import token_estimate
+    from tidewell.operators.sampling import smallest_hashes
+
+    known = df.where(F.col(text).isNotNull())
+    chars = describe_numeric(known.select(F.char_length(text).alias("n")), "n").withColumns({"measure": F.lit("chars"), **{f"over_{t}": F.lit(None).cast("double") for t in thresholds}})
+    drawn = smallest_hashes(known.select(key, text), key, sample, seed).select(token_estimate(F.col(text)).alias("n"))
+    shares = drawn.agg(*(F.avg((F.col("n") > t).cast("double")).alias(f"over_{t}") for t in thresholds))
+    tokens = describe_numeric(drawn, "n").withColumn("measure", F.lit("tokens")).join(F.broadcast(shares))  # one row each
+    return chars.unionByName(tokens)
+
+
 def length_relation(df: DataFrame, a, b) -> DataFrame:
     """(pearson, median_ratio) of two measures of the same rows."""
     t = df.select(a.cast("double").alias("a"), b.cast("double").alias("b"))

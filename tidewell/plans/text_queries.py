@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.functions.stats import rounded
 from tidewell.operators import quality, scoring
-from tidewell.plans.registry import query, table
+from tidewell.plans.registry import hash_sql, query, table
 
 #: Words for the keyword query, by category; they are syllables of the invented prose of the test tables.
 KEYWORDS = {"work": ["the*", "der", "les"], "money": ["ing", "und", "que"], "health": ["ble", "ion", "token"]}
@@ -156,3 +156,16 @@ def top_ngrams(spark, sf_dir):
 
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
     return top(table(spark, sf_dir, "conversations").select("role", words.alias("w")), "w", ["role"], (1, 2), 10)
+
+
+_TOK = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+|[^\\p{L}\\p{N}_\\p{M}\\s]'))"
+_DESC = "count(n) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, CAST(min(n) AS DOUBLE) AS min, CAST(max(n) AS DOUBLE) AS max, " + ", ".join(f"round(quantile_cont(CAST(n AS DOUBLE), {p}), 6) AS p{int(p * 100):02d}" for p in quality.PERCENTILES)
+
+
+@query(
+    "length_stats",
+    f"""WITH c AS (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT {_TOK} AS n FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL ORDER BY {hash_sql('doc_id', '42')}, doc_id LIMIT 150))
+    SELECT 'chars' AS measure, {_DESC}, CAST(NULL AS DOUBLE) AS over_128, CAST(NULL AS DOUBLE) AS over_512 FROM c UNION ALL SELECT 'tokens', {_DESC}, round(avg(CAST(n > 128 AS DOUBLE)), 6), round(avg(CAST(n > 512 AS DOUBLE)), 6) FROM s""",
+)
+def length_stats(spark, sf_dir):
+    return rounded(quality.length_stats(table(spark, sf_dir, "documents"), "doc_id", "text", (128, 512), 150), 6)
