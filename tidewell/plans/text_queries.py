@@ -108,7 +108,17 @@ def lexical_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("text_lexical"))
 
 
-@query("sentence_windows")
+_WINDOWS = r"""WITH RECURSIVE p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS paras FROM conversations),
+s AS (SELECT conv_id, turn, list_filter(list_transform(flatten(list_transform(paras, lambda x: string_split(regexp_replace(x, '([.!?…])["' || chr(39) || '”’)\]]*\s+', '\1' || chr(1), 'g'), chr(1)))), lambda x: trim(x)), lambda x: x <> '') AS s FROM p),
+f AS (SELECT conv_id, turn, s, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS rest FROM s
+    UNION ALL SELECT conv_id, turn, s, i + 1, CASE WHEN len(regexp_extract_all(own, '[\p{L}\p{N}_\p{M}]+')) >= 4 THEN list_append(done, own) ELSE done END, CASE WHEN len(regexp_extract_all(own, '[\p{L}\p{N}_\p{M}]+')) >= 4 THEN '' ELSE own END
+    FROM (SELECT *, CASE WHEN rest = '' THEN s[i + 1] ELSE rest || ' ' || s[i + 1] END AS own FROM f WHERE i < len(s))),
+w AS (SELECT conv_id, turn, CASE WHEN rest = '' THEN done WHEN len(done) = 0 THEN [rest] ELSE list_append(done[1:len(done) - 1], done[len(done)] || ' ' || rest) END AS w FROM f WHERE i = len(s)),
+e AS (SELECT conv_id, turn, CASE WHEN len(w) <= 24 THEN w ELSE list_transform(list_sort(list_distinct(list_transform(range(0, 24), lambda i: CAST(round_even(i * (len(w) - 1) / 23.0e0, 0) AS INTEGER)))), lambda j: w[j + 1]) END AS w FROM w)
+SELECT conv_id, turn, unnest(w) AS text, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS "window" FROM e"""
+
+
+@query("sentence_windows", _WINDOWS)
 def sentence_windows(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.posexplode(T.sentence_windows(F.col("text"), 1, 4, 24)).alias("window", "text"))
