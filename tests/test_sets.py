@@ -112,3 +112,19 @@ def test_samplers_lose_nothing(spark):
     masked = sampling.mask_words(spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "x"), (5, " ")], "k int, t string"), "k", "t", 2)
     out = {r.k: r.t for r in masked.collect()}
     assert out[2] is None and out[3] == "" and out[4] == "[MASK]" and out[5] == " " and out[1].count("[MASK]") == 2 and len(out) == 5
+
+
+def test_stratified_split_equals_sql_beyond_the_sketch(spark, tmp_path):
+    import duckdb
+
+    from tidewell.plans.catalog import ORACLE_SQL, QUERIES
+
+    kind = F.when(F.col("id") % 1000 == 999, None).when(F.col("id") < 7, "few").when(F.col("id") % 10 == 0, "some").otherwise("most")
+    e = spark.range(700_000).select(F.when(F.col("id") % 5 == 4, F.lit(4)).when(F.col("id") == 11, None).otherwise(F.col("id")).alias("event_id"), kind.alias("event_type"))  # a fifth share one key
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = QUERIES["stratified_split"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["stratified_split"]).df()
+    by = ["event_type", "split", "event_id"]
+    got, want = (x.fillna({"event_id": -1}).astype({"event_id": "int64"}).sort_values(by)[by].reset_index(drop=True) for x in (got, want))
+    assert len(got) == 699_300 and got.equals(want)

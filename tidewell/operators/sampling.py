@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions.stats import short_hash, unit_hash
@@ -41,17 +43,35 @@ def group_split(df: DataFrame, group: str, shares: dict[str, float], seed: int =
     return df.withColumn("split", out.otherwise(last) if out is not None else F.lit(last))
 
 
+#: Bins of [0, 1) in which uniform hashes are counted before those in a quantile's own bin are ranked.
+HASH_BINS = 1 << 14
+
+
+def hash_quantiles(hashed: DataFrame, stratum: str, u: str, shares: list[Fraction]) -> DataFrame:
+    """(__s, __q): for each share the smallest u that so much of its stratum's rows do not exceed, exactly. Counts by bin tell in which bin a quantile
+    lies, and only that bin's values are ranked, so that no stratum is any single task's."""
+    t = hashed.where(F.col(u).isNotNull()).select(F.col(stratum).alias("__s"), F.col(u).alias("__u"), F.floor(F.col(u) * HASH_BINS).alias("__b"))
+    bins = t.groupBy("__s", "__b").agg(F.count("*").alias("n"))
+    n, upto = F.sum("n").over(Window.partitionBy("__s")), F.sum("n").over(Window.partitionBy("__s").orderBy("__b"))  # at most HASH_BINS rows
+    ranks = [F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.expr(f"(n_all * {q.numerator} + {q.denominator - 1}) div {q.denominator}")).alias("rank")) for i, q in enumerate(shares)]
+    own = bins.withColumns({"n_all": n, "upto": upto}).select("__s", "__b", "n", "upto", F.explode(F.array(*ranks)).alias("x")).where("x.rank > upto - n AND x.rank <= upto")
+    own = own.select(F.col("__s").alias("__t"), F.col("__b").alias("__c"), (F.col("x.rank") - (F.col("upto") - F.col("n"))).alias("rank"), "x.i")
+    at = t.join(own, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__c"))).groupBy("__s", "i", "rank", "__u").agg(F.count("*").alias("n"))
+    at = at.withColumn("upto", F.sum("n").over(Window.partitionBy("__s", "i").orderBy("__u"))).where("upto >= rank").groupBy("__s", "i").agg(F.min("__u").alias("q"))
+    return at.groupBy("__s").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("__q"))  # as many as shares
+
+
 def stratified_split(df: DataFrame, stratum: str, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Splits of nearly the given shares in each stratum (null is one too): hashes are cut at their quantiles within it."""
-    u = short_hash(F.col(key), str(seed))
-    cuts, total = [], 0.0
+    """Splits of the given shares in each stratum (null is one too), up to a row: hashes are cut at their exact quantiles within it."""
+    cuts, total = [], Fraction(0)
     for share in list(shares.values())[:-1]:
-        total += share
-        cuts.append(min(1.0, total))
-    hashed = df.withColumn("u", u)
-    q = hashed.groupBy(F.col(stratum).alias("__s")).agg(F.percentile_approx("u", F.array(*map(F.lit, cuts)), F.lit(100_000)).alias("__q"))
-    t = hashed.join(q, F.col(stratum).eqNullSafe(F.col("__s")))
+        total += Fraction(str(share)).limit_denominator(1_000_000)
+        cuts.append(min(Fraction(1), total))
+    hashed = df.withColumn("u", short_hash(F.col(key), str(seed)))
     names = list(shares)
+    if not cuts:
+        return hashed.withColumn("split", F.lit(names[-1])).drop("u")
+    t = hashed.join(hash_quantiles(hashed, stratum, "u", cuts), F.col(stratum).eqNullSafe(F.col("__s")), "left")
     out = F.lit(names[-1])
     for i in range(len(cuts) - 1, -1, -1):
         out = F.when(F.col("u") <= F.col("__q")[i], names[i]).otherwise(out)
